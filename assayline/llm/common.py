@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

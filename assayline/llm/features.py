@@ -18,11 +18,12 @@ _U = np.uint64
 class Hasher:
     """Word n-grams and, where asked for, byte n-grams of each text, hashed into ``2 ** bits`` places each.
 
+    With ``repeats``, each word 3-gram that came before in its text also counts towards one place of its own.
     Every occurrence weighs 1 / sqrt(occurrences of its kind in the text).
     """
 
-    def __init__(self, bits: int = 18, words: tuple[int, ...] = (1, 2), chars: tuple[int, ...] = ()):
-        self.bits, self.words, self.chars = bits, tuple(words), tuple(chars)
+    def __init__(self, bits: int = 18, words: tuple[int, ...] = (1, 2), chars: tuple[int, ...] = (), repeats: bool = False):
+        self.bits, self.words, self.chars, self.repeats = bits, tuple(words), tuple(chars), repeats
 
     @property
     def size(self) -> int:
@@ -36,6 +37,13 @@ class Hasher:
             at, h = w.grams(k)
             rows[0].append(w.doc[at])
             places[0].append((h >> _U(64 - self.bits)).astype(np.int64))
+        if self.repeats:
+            at, h = w.grams(3)
+            key = mix(h ^ w.doc[at].astype(np.uint64))
+            order = np.argsort(key, kind="stable")
+            again = w.doc[at[order[1:][key[order[1:]] == key[order[:-1]]]]]
+            rows[0].append(again)
+            places[0].append(np.zeros(len(again), np.int64))
         if self.chars:
             owner = np.repeat(np.arange(n), np.diff(w.bounds))
             buf = w.buf.astype(np.uint64)
