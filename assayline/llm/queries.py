@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, quality_classifier, quality_rules
+from . import license_scan, mixing, neighbours, pieces, quality_classifier, quality_rules
 from .common import documents
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.apply(docs, quality_rules.train(docs, documents(spark, sf_dir, "labels")))
@@ -19,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.every_hundredth(documents(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, sf_dir)
 
@@ -27,5 +37,5 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_quality_classifier, op7_mixing, op8_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pieces, op3_quality_rules, op4_quality_classifier, op6_neighbours, op7_mixing, op8_license_scan)}
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
