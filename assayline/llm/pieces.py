@@ -3,7 +3,7 @@
 A text becomes symbols, one per code point; an agenda of adjacent pairs, ordered by the score of the piece that they make
 (then leftmost), is merged from the top until no pair makes a piece. Where no piece of the vocabulary has the word mark
 after another character, merges can't cross a word's start, so each word is encoded once and remembered. Every word
-that a task meets first, and whole texts of each Arrow batch, are checked against the sentencepiece library, and every
+that a task meets first, and a whole text of each slice of an Arrow batch, are checked against the sentencepiece library, and every
 text's decoding is.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows and null doc_ids are carried along. An empty
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,7 +36,7 @@ class Coder:
     """Encodes and decodes with the vocabulary of a model file."""
 
     #: Words remembered in each of two generations, and the longest one that is.
-    REMEMBER, LONGEST = 250_000, 48
+    REMEMBER, LONGEST = 400_000, 48
 
     def __init__(self, path: str):
         import sentencepiece
@@ -58,32 +59,96 @@ class Coder:
                 self.surface.append(piece.replace(MARK, " ").encode())
         if len(self.bytes) != 256 or any(odd) or sp.normalize("  ﬁ ") != f"{MARK}{MARK}{MARK}ﬁ{MARK}":
             raise ValueError("only vocabularies with byte fallback, the identity normaliser and a leading mark are supported")
+        self.ints = list(range(len(self.surface)))
+        self._pairs()
         self.by_word = not any(MARK in x.lstrip(MARK) for x in self.pieces)
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
-        self.fresh: list[tuple[str, tuple]] = []
+
+    def _pairs(self) -> None:
+        """Sorted keys of all pairs of symbols that make a piece, with the place of that piece in score order and its id."""
+        self.symbol: dict[str, int] = {}
+        for piece, (_, i) in self.pieces.items():
+            if len(piece) == 1:
+                self.symbol[piece] = i
+        size, rows = len(self.surface), []
+        for piece, (cost, i) in self.pieces.items():
+            for k in range(1, len(piece)):
+                ends = []
+                for part in (piece[:k], piece[k:]):
+                    known = self.pieces.get(part)
+                    if known:
+                        ends.append(known[1])
+                    elif len(part) == 1:  # a character that is no piece itself
+                        ends.append(self.symbol.setdefault(part, size + len(self.symbol)))
+                if len(ends) == 2:
+                    rows.append(((ends[0] << 32) | ends[1], cost, i))
+        rows.sort()
+        self.pair_keys = np.array([r[0] for r in rows] + [(1 << 63) - 1], np.int64)
+        self.pair_cost = np.array([r[1] for r in rows] + [np.inf], np.float32)
+        self.pair_id = np.array([r[2] for r in rows] + [-1], np.int64)
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = (a << 32) | b
+        at = np.searchsorted(self.pair_keys, key)
+        hit = self.pair_keys[at] == key
+        return np.where(hit, self.pair_cost[at], np.float32(np.inf)), self.pair_id[at]
+
+    def merge_many(self, segments: list[str]) -> list[list[int]]:
+        """Ids of short segments, all at once: each keeps its agenda in a row of costs, and each round pops every row's top."""
+        n, wide = len(segments), max(map(len, segments)) + 1
+        sizes = np.fromiter(map(len, segments), np.int64, n)
+        none = 1 << 30  # a symbol that makes no piece with any other
+        get = self.symbol.get
+        flat = np.fromiter((get(c, none) for c in "".join(segments)), np.int64, int(sizes.sum()))
+        sym = np.full((n, wide), none, np.int64)
+        live = np.arange(wide)[None] < sizes[:, None]
+        sym[live] = flat
+        after, before = np.tile(np.arange(1, wide + 1), (n, 1)), np.tile(np.arange(-1, wide - 1), (n, 1))
+        cost, made = np.full((n, wide), np.inf, np.float32), np.zeros((n, wide), np.int64)
+        c, m = self._look(sym[:, :-1].ravel(), sym[:, 1:].ravel())
+        cost[:, :-1], made[:, :-1] = c.reshape(n, -1), m.reshape(n, -1)
+        rows = np.arange(n)
+        while True:
+            top = cost[rows].argmin(1)
+            go = np.isfinite(cost[rows, top])
+            rows, top = rows[go], top[go]
+            if not len(rows):
+                break
+            gone = after[rows, top]
+            sym[rows, top] = made[rows, top]
+            live[rows, gone] = False
+            cost[rows, gone] = np.inf
+            right = np.minimum(after[rows, gone], wide - 1)
+            after[rows, top] = right
+            before[rows, right] = top
+            left = np.maximum(before[rows, top], 0)
+            c, m = self._look(np.concatenate((sym[rows, top], sym[rows, left])), np.concatenate((sym[rows, right], sym[rows, top])))
+            k = len(rows)
+            cost[rows, top], made[rows, top] = c[:k], m[:k]
+            inner = top > 0
+            cost[rows[inner], left[inner]], made[rows[inner], left[inner]] = c[k:][inner], m[k:][inner]
+        ends = np.cumsum(live.sum(1))
+        ids = sym[live]
+        plain = ids < len(self.surface)
+        if plain.all():
+            ids = ids.tolist()
+            return [ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        chars, out = np.nonzero(live)[1], []
+        for w, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            x: list[int] = []
+            for k in range(i, j):
+                if plain[k]:
+                    x.append(int(ids[k]))
+                else:
+                    x.extend(self.bytes[b] for b in segments[w][chars[k]].encode())
+            out.append(x)
+        return out
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of a segment: short ones scan their agenda, long ones keep it in a heap."""
-        parts = list(segment)
-        if len(parts) > self.LONGEST:
-            parts = self._heap(parts)
-        else:
-            get, none = self.pieces.get, (float("inf"), -1)
-            cost = [get(a + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)]
-            while cost:
-                best = min(cost)
-                if best == none[0]:
-                    break
-                i = cost.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del cost[i]
-                if i < len(cost):
-                    cost[i] = get(parts[i] + parts[i + 1], none)[0]
-                if i:
-                    cost[i - 1] = get(parts[i - 1] + parts[i], none)[0]
+        """Ids of one segment of any length; its agenda is a heap."""
         out: list[int] = []
-        for x in parts:
+        for x in self._heap(list(segment)):
             found = self.pieces.get(x)
             if found is None:
                 out.extend(self.bytes[b] for b in x.encode())
@@ -111,47 +176,58 @@ class Coder:
                 heapq.heappush(agenda, (f[0], h, i, parts[h] + made))
         return [x for x, ok in zip(parts, alive, strict=True) if ok]
 
-    def _word(self, word: str) -> tuple:
-        """(ids, ids in decimal, bytes) of the mark and the word after it."""
-        found = self.old.get(word)
-        if found is None:
-            ids = tuple(self.merge(MARK + word))
-            found = (ids, ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids]))
-            self.fresh.append((word, found))
-        if len(word) <= self.LONGEST:
-            if len(self.young) >= self.REMEMBER:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
-        return found
-
-    def words(self, text: str) -> list[tuple]:
-        """The encodings that make up a text's, in order."""
+    def _entry(self, ids: list[int]) -> tuple:
+        own = self.ints  # one int object for each id, however often it is remembered
+        return [own[i] for i in ids], ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
+
+    def keys(self, text: str) -> list[str]:
+        """The words of a text: each stands for the mark and itself."""
         if not text:
             return []
-        if not self.by_word:
-            ids = tuple(self.merge(MARK + text.replace(" ", MARK)))
-            return [(ids, ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids]))]
         keys = text.split(" ")
         if "" in keys or MARK in text:
             keys = [x[1:] for x in _SEGMENTS.findall(MARK + text.replace(" ", MARK))]
-        get = self.young.get
-        return [get(k) or self._word(k) for k in keys]
+        return keys
+
+    def prepare(self, keys: Iterator[str]) -> dict[str, tuple]:
+        """Encodings of all the words: remembered ones, and the others, merged together and checked against the library."""
+        if len(self.young) > self.REMEMBER:
+            self.old, self.young = self.young, {}
+        young, old, extra, fresh = self.young, self.old, {}, {}
+        for k in keys:
+            if k not in young:
+                if (x := old.get(k)) is not None:
+                    young[k] = x
+                elif len(k) < self.LONGEST:
+                    fresh[len(k) // 6, k] = None
+                else:
+                    extra[k] = self._entry(self.merge(MARK + k))
+        by_size: dict[int, list[str]] = {}
+        for size, k in fresh:
+            by_size.setdefault(size, []).append(k)
+        for words in by_size.values():
+            ids = self.merge_many([MARK + k for k in words])
+            for k, x, theirs in zip(words, ids, self.library.encode(words, num_threads=1), strict=True):
+                if k and x != theirs:
+                    raise Mismatch(f"{k!r}: {x} here, {theirs} by the library")
+                young[k] = self._entry(x)
+        return {**young, **extra} if extra else young
+
+    def encode_many(self, texts: list[str]) -> list[list[tuple]]:
+        """For each text the encodings that make up its own, in order."""
+        if not self.by_word:
+            return [[self._entry(self.merge(MARK + x.replace(" ", MARK)))] if x else [] for x in texts]
+        keys = [self.keys(x) for x in texts]
+        known = self.prepare(set().union(*keys))
+        return [[known[k] for k in x] for x in keys]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([w[0] for w in self.words(text)]))
+        return list(chain.from_iterable([w[0] for w in self.encode_many([text])[0]]))
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join([self.surface[i] for i in ids])
         return out[out[:1] == b" " :].decode("utf-8", "replace")
 
-    def check_fresh(self) -> None:
-        """Words encoded for the first time, against the library."""
-        fresh = [(w, f) for w, f in self.fresh if w and len(w) <= self.LONGEST]
-        for (word, mine), theirs in zip(fresh, self.library.encode([w for w, _ in fresh], num_threads=1) if fresh else [], strict=True):
-            if list(mine[0]) != theirs:
-                raise Mismatch(f"{word!r}: {mine[0]} here, {theirs} by the library")
-        self.fresh = []
-
 
 _coders: dict[str, Coder] = {}
 
@@ -172,9 +248,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
     code = coder(path)
     for b in text_slices(batches):
         texts = [x or "" for x in b.column("text").to_pylist()]
-        found = [code.words(x) for x in texts]
+        found = code.encode_many(texts)
         ids = [list(chain.from_iterable([w[0] for w in f])) for f in found]
-        code.check_fresh()
         whole = [i for i, x in enumerate(texts) if len(x) <= CHECK_WHOLE][:1] or ([0] if not code.by_word else [])
         if whole and code.library.encode([texts[i] for i in whole], num_threads=1) != [ids[i] for i in whole]:
             raise Mismatch(f"a whole text: {texts[whole[0]][:200]!r}")
