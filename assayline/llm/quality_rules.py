@@ -29,7 +29,7 @@ class RuleParameters:
     #: Kept if the calibrated probability of good quality is at least this.
     threshold: float = 0.3
     #: Labelled rows that the model learns from, at most.
-    sample_rows: int = 6000
+    sample_rows: int = 2000
     #: Of these, the share kept aside for calibration.
     calibration_share: float = 0.25
     bits: int = 17
@@ -52,8 +52,8 @@ class Model:
 def _fit(y: np.ndarray, rows: list, size: int, p: RuleParameters) -> tuple[np.ndarray, float]:
     """Full-batch AdaGrad on the logistic loss, classes weighted alike."""
     cut = np.cumsum([0, *(len(a) for a, _ in rows)])
-    places, values = np.concatenate([a for a, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), np.diff(cut))
+    places, values = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(cut))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b, g2, b2 = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(p.epochs):
