@@ -21,7 +21,7 @@ null component and links nothing. An empty table gives no rows. Columns other th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,6 @@ from .components import connected
 from .kernels import Words, mix
 
 _U = np.uint64
-BITS = 2048
 
 
 @dataclass(frozen=True)
@@ -55,6 +54,8 @@ class JoinParameters:
     #: Documents (hashed choice) in which frequent tokens are looked for; they only steer cost, never the result.
     sample_docs: int = 4_000
     frequent: int = 50_000
+    #: Bits of a parity bitmap.
+    bits: int = 2048
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[int]:
@@ -159,9 +160,9 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parity(tokens: np.ndarray) -> bytes:
+def parity(tokens: np.ndarray, bits: int) -> bytes:
     """A bitmap in which two sets differ in at most as many bits as tokens."""
-    return np.packbits((np.bincount((tokens >> _U(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((tokens >> _U(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def sets(docs: DataFrame, p: JoinParameters) -> DataFrame:
@@ -170,7 +171,7 @@ def sets(docs: DataFrame, p: JoinParameters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             found = shingles(raw_texts(b.column("text")), p.words)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([fingerprint(x) if len(x) else None for x in found], pa.int64()), "bitmap": pa.array([parity(x) if len(x) else None for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([fingerprint(x) if len(x) else None for x in found], pa.int64()), "bitmap": pa.array([parity(x, p.bits) if len(x) else None for x in found], pa.binary())})
 
     return only(docs).mapInArrow(run, "doc_id long, n long, fp long, bitmap binary")
 
@@ -190,21 +191,23 @@ def frequent_tokens(docs: DataFrame, p: JoinParameters) -> tuple[np.ndarray, np.
     return tokens[order], np.array([r["count"] for r in got], np.int64)[order]
 
 
+def pack(sig: list[np.ndarray], fps: list[int], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: the fingerprints, then the signatures' low 40 bits."""
+    n = [len(x) for x in sig]
+    s, f = np.concatenate(sig), np.repeat(np.array(fps, np.int64), n)
+    home = (s >> _U(40)) % _U(buckets)
+    order = np.argsort(home.astype(np.uint32), kind="stable")
+    s, f, home = s[order], f[order], home[order]
+    cut = np.searchsorted(home, np.arange(buckets + 1).astype(np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    low, high = s.astype(np.uint32), (s >> _U(32)).astype(np.uint8)
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "packed": pa.array([f[i:j].tobytes() + low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(cut[full], cut[full + 1], strict=True)], pa.binary())})
+
+
 def signatures(docs: DataFrame, p: JoinParameters, buckets: int) -> DataFrame:
     """(bucket, packed): signatures and their sets' fingerprints, dealt by signature; equal sets of a task once."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, p))
 
-    def packed(sig: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
-        n = [len(x) for x in sig]
-        s, f = np.concatenate(sig), np.repeat(np.array(fps, np.int64), n)
-        home = (s >> _U(40)) % _U(buckets)
-        order = np.argsort(home.astype(np.uint32), kind="stable")
-        s, f, home = s[order], f[order], home[order]
-        cut = np.searchsorted(home, np.arange(buckets + 1).astype(np.uint64))
-        full = np.flatnonzero(np.diff(cut))
-        low, high = s.astype(np.uint32), (s >> _U(32)).astype(np.uint8)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "packed": pa.array([f[i:j].tobytes() + low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(cut[full], cut[full + 1], strict=True)], pa.binary())})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen, sig, fps, held = Signer(p, sent.value), set(), [], [], 0
         for b in text_slices(batches):
@@ -216,10 +219,10 @@ def signatures(docs: DataFrame, p: JoinParameters, buckets: int) -> DataFrame:
                     fps.append(f)
                     held += len(sig[-1])
             if held > 3_000_000:
-                yield packed(sig, fps)
+                yield pack(sig, fps, buckets)
                 sig, fps, held = [], [], 0
         if held:
-            yield packed(sig, fps)
+            yield pack(sig, fps, buckets)
 
     return only(docs).where("doc_id IS NOT NULL").mapInArrow(run, "bucket int, packed binary")
 
@@ -276,7 +279,7 @@ def close(pairs: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.frombuffer(b"".join(b.column(f"bitmap_{k}").to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in "ab"]
+            bits = [np.frombuffer(b"".join(b.column(f"bitmap_{k}").to_pylist()), np.uint64).reshape(-1, p.bits // 64) for k in "ab"]
             n = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
             ok = _differ(*bits) * (100 + t) <= (100 - t) * n
             yield b.select(["a", "b"]).filter(pa.array(ok))
@@ -284,32 +287,21 @@ def close(pairs: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: JoinParameters) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: JoinParameters) -> DataFrame:
     """The pairs that link, by exact intersection of whole sets.
 
-    Candidate groups are cut into blocks by their second ends; a block holds each of its sets once.
+    Candidate groups are cut into blocks by their second ends; a block holds each of its sets once. ``fetch`` turns rows of
+    (block, fp) with the other columns of ``nodes`` into (block, fp, tokens).
     """
     groups = connected(pairs)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     placed = pairs.join(groups.withColumnRenamed("node", "b"), "b").join(sizes, "root")
     cuts = F.ceil(F.col("size") / p.block)
     placed = checkpoint(placed.select("a", "b", F.xxhash64("root", F.pmod(F.xxhash64("b"), cuts)).alias("block")))
-    members = placed.select("block", F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "doc_id"), "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            found = shingles(raw_texts(b.column("text")), p.words)
-            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "fp": b.column("fp"), "tokens": pa.array([x.tobytes() for x in found], pa.binary())})
-
-    # of rows that share a doc_id, the one whose set is the node's counts
-    texts = members.join(only(docs), "doc_id").select("block", "fp", "text").mapInArrow(run, "block long, fp long, tokens binary")
+    members = placed.select("block", F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.drop("n", "bitmap"), "fp")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {}
-        for fp, x in zip(left.column("fp").to_pylist(), left.column("tokens").to_pylist(), strict=True):
-            tokens = np.frombuffer(x, np.uint64)
-            if fingerprint(tokens) == fp:
-                have[fp] = tokens
+        have = {fp: np.frombuffer(x, np.uint64) for fp, x in zip(left.column("fp").to_pylist(), left.column("tokens").to_pylist(), strict=True)}
         out = []
         for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):
             x, y = have[a], have[b]
@@ -321,7 +313,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: JoinParamet
                 out.append((a, b))
         return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
-    return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(check, "a long, b long")
+    return fetch(members).groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(check, "a long, b long")
+
+
+def fetcher(docs: DataFrame, p: JoinParameters) -> Callable[[DataFrame], DataFrame]:
+    """Sets of whole documents; of rows that share a doc_id, the one whose set is the node's counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            found = shingles(raw_texts(b.column("text")), p.words)
+            own = pa.array([fingerprint(x) == fp for x, fp in zip(found, b.column("fp").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "fp": b.column("fp"), "tokens": pa.array([x.tobytes() for x in found], pa.binary())}).filter(own)
+
+    return lambda members: members.join(only(docs), "doc_id").select("block", "fp", "text").mapInArrow(run, "block long, fp long, tokens binary")
 
 
 def across(holders: DataFrame, nodes: DataFrame, labels: DataFrame, p: JoinParameters) -> DataFrame:
@@ -336,7 +340,7 @@ def across(holders: DataFrame, nodes: DataFrame, labels: DataFrame, p: JoinParam
 
     def run(table: pa.Table) -> pa.Table:
         fp, label, n, mine = (np.asarray(table.column(c)) for c in ("fp", "label", "n", "mine"))
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, p.bits // 64)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         a, b = [], []
         for x in range(len(fp)):
@@ -351,6 +355,15 @@ def across(holders: DataFrame, nodes: DataFrame, labels: DataFrame, p: JoinParam
     return flat.groupBy("run", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def linked(found: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: JoinParameters) -> DataFrame:
+    """(node, root) of the nodes that link with another, from candidates to components."""
+    edges = checkpoint(verified(checkpoint(close(found.where("run IS NULL").select("a", "b").distinct(), nodes, p)), nodes, fetch, p))
+    labels = connected(edges)
+    holders = found.where("run IS NOT NULL").select("run", F.col("b").alias("fp")).distinct()
+    rest = checkpoint(across(holders, nodes, labels, p))
+    return labels if rest.isEmpty() else connected(edges.union(verified(rest, nodes, fetch, p)))
+
+
 def links(docs: DataFrame, p: JoinParameters = JoinParameters()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, fp) of every document, and (node, root) of the sets that link with another."""
     spark = docs.sparkSession
@@ -359,14 +372,7 @@ def links(docs: DataFrame, p: JoinParameters = JoinParameters()) -> tuple[DataFr
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(width(spark), 2 * tokens // (3 * p.task_signatures) + 1))
     found = checkpoint(runs(signatures(docs, p, buckets), p))
-    likely = close(found.where("run IS NULL").select("a", "b").distinct(), nodes, p)
-    edges = checkpoint(verified(checkpoint(likely), nodes, docs, p))
-    labels = connected(edges)
-    holders = found.where("run IS NOT NULL").select("run", F.col("b").alias("fp")).distinct()
-    rest = checkpoint(across(holders, nodes, labels, p))
-    if not rest.isEmpty():
-        labels = connected(edges.union(verified(rest, nodes, docs, p)))
-    return every.select("doc_id", "n", "fp"), labels
+    return every.select("doc_id", "n", "fp"), linked(found, nodes, fetcher(docs, p), p)
 
 
 def components(docs: DataFrame, p: JoinParameters = JoinParameters()) -> DataFrame:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules
+from . import jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,5 +49,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pieces, op3_quality_rules, op4_quality_classifier, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pieces, op3_quality_rules, op4_quality_classifier, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join)}
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
