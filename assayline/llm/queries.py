@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules
+from . import jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.every_hundredth(documents(spark, sf_dir, "embeddings"))
 
@@ -49,5 +53,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pieces, op3_quality_rules, op4_quality_classifier, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pieces, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join)}
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
