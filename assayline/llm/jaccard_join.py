@@ -384,6 +384,12 @@ def components(docs: DataFrame, p: JoinParameters = JoinParameters()) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, p: JoinParameters = JoinParameters()) -> DataFrame:
+    """The rows of ``docs`` less those that another row of their component, with a smaller doc_id, stands for."""
+    go = components(docs, p).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(go, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents

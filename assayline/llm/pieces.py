@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import only, text_slices
 
@@ -283,3 +284,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(r[0]) for r in rows], pa.int64()), "ids_sha256": pa.array([digest(r[1]) for r in rows], pa.string()), "decoded_sha256": pa.array([digest(r[2]) for r in rows], pa.string())})
 
     return only(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of each document: what a training run reads, and a proof of its round trip."""
+    return encode_documents(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

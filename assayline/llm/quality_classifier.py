@@ -32,9 +32,9 @@ class FtrlParameters:
     threshold: float = 0.3
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the ids that is never learnt from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def ftrl(y: np.ndarray, rows: list, size: int, p: FtrlParameters) -> tuple[np.ndarray, float]:
@@ -65,20 +65,32 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlParameters
     return hasher, w.astype(np.float32), b
 
 
-def scored(docs: DataFrame, model: tuple[Hasher, np.ndarray, float], carry: str = "") -> DataFrame:
-    """doc_id, score and, where ``carry`` names columns in a schema string, those after them."""
+def scored(docs: DataFrame, model: tuple[Hasher, np.ndarray, float]) -> DataFrame:
+    """(doc_id, score) of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [x.split()[0] for x in carry.split(",") if x.strip()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, weights, bias = sent.value
         for b in text_slices(batches):
             z = hasher.margins(raw_texts(b.column("text")), weights, bias)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35)))), **{n: b.column(n) for n in names}})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))})
 
-    return docs.mapInArrow(score, "doc_id long, score double" + (f", {carry}" if carry else ""))
+    return only(docs).mapInArrow(score, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlParameters()) -> DataFrame:
-    out = scored(only(docs), train(docs, labels, p))
+    out = scored(docs, train(docs, labels, p))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlParameters()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, weights, bias = sent.value
+        for b in text_slices(batches):
+            z = hasher.margins(raw_texts(b.column("text")), weights, bias)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))) >= p.threshold))
+
+    return docs.mapInArrow(choose, docs.schema)
