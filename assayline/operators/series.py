@@ -7,15 +7,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import dates, indices, ranges
 from ..schemas import DOWN, NORMAL, UP
 
 KEY = ["patient_id", "canonical_id"]
-W = Window.partitionBy(*KEY).orderBy("fecha", "result_id")
-WHOLE = Window.partitionBy(*KEY)
-BACK = Window.partitionBy(*KEY).orderBy(F.desc("fecha"), F.desc("result_id"))
-UP_TO = W.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("fecha", "result_id")
+
+
+def backwards() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy(F.desc("fecha"), F.desc("result_id"))
+
+
+def whole_series() -> WindowSpec:
+    return Window.partitionBy(*KEY)
+
+
+def up_to() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def series(results: DataFrame, reports: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -48,11 +61,11 @@ def with_targets(s: DataFrame, targets: DataFrame) -> DataFrame:
 
 def last_five_years(s: DataFrame) -> DataFrame:
     """Points of the five years before the series' own last date."""
-    return s.withColumn("__last", F.max("fecha").over(WHOLE)).where(F.col("fecha") >= dates.five_years_before(F.col("__last"))).drop("__last")
+    return s.withColumn("__last", F.max("fecha").over(whole_series())).where(F.col("fecha") >= dates.five_years_before(F.col("__last"))).drop("__last")
 
 
 def with_previous(s: DataFrame) -> DataFrame:
-    return s.withColumn("ord", F.row_number().over(W)).withColumn("previous", F.lag("value_num").over(W)).withColumn("previous_lab", F.lag("lab").over(W)).withColumn("back", F.row_number().over(BACK))
+    return s.withColumn("ord", F.row_number().over(in_order())).withColumn("previous", F.lag("value_num").over(in_order())).withColumn("previous_lab", F.lag("lab").over(in_order())).withColumn("back", F.row_number().over(backwards()))
 
 
 def latest_report(s: DataFrame) -> DataFrame:
@@ -115,24 +128,24 @@ CUSUM_K, CUSUM_H, CUSUM_BASE, CUSUM_LEAST = 0.5, 5.0, 4, 3
 
 def same_lab_run(s: DataFrame) -> DataFrame:
     """The trailing run of points of the last point's lab; two unknown labs are the same."""
-    p = s.withColumn("ord", F.row_number().over(W)).withColumn("__lab", F.last("lab").over(W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    other = F.max(F.when(~F.col("lab").eqNullSafe(F.col("__lab")), F.col("ord"))).over(WHOLE)
+    p = s.withColumn("ord", F.row_number().over(in_order())).withColumn("__lab", F.last("lab").over(in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    other = F.max(F.when(~F.col("lab").eqNullSafe(F.col("__lab")), F.col("ord"))).over(whole_series())
     return p.withColumn("__o", F.coalesce(other, F.lit(0))).where("ord > __o").drop("__lab", "__o")
 
 
 def drift(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None) -> DataFrame:
     """Tabular CUSUM over the trailing one-lab run, as running sums less their running minima (no recursion)."""
     p = same_lab_run(with_variation(flagged(s), variation, patients)).where("cvi IS NOT NULL AND value_num > 0")
-    p = p.withColumn("ord", F.row_number().over(W)).withColumn("__steady", _steady().cast("int")).withColumn("__k", F.sum("__steady").over(UP_TO))
+    p = p.withColumn("ord", F.row_number().over(in_order())).withColumn("__steady", _steady().cast("int")).withColumn("__k", F.sum("__steady").over(up_to()))
     base = (F.col("__steady") == 1) & (F.col("__k") <= CUSUM_BASE)
-    p = p.withColumn("__base", base).withColumn("centre", F.avg(F.when(F.col("__base"), F.col("value_num"))).over(WHOLE)).withColumn("__n", F.sum(F.col("__base").cast("int")).over(WHOLE)).withColumn("__end", F.max(F.when(F.col("__base"), F.col("ord"))).over(WHOLE))
+    p = p.withColumn("__base", base).withColumn("centre", F.avg(F.when(F.col("__base"), F.col("value_num"))).over(whole_series())).withColumn("__n", F.sum(F.col("__base").cast("int")).over(whole_series())).withColumn("__end", F.max(F.when(F.col("__base"), F.col("ord"))).over(whole_series()))
     p = p.where((F.col("__n") == CUSUM_BASE) & (F.col("ord") > F.col("__end")))
     z = (F.ln("value_num") - F.ln("centre")) / indices.sigma(F.col("cvi"), F.col("cva"))
-    p = p.withColumn("__z", z).withColumn("__n", F.count(F.lit(1)).over(WHOLE)).where(F.col("__n") >= CUSUM_LEAST)
+    p = p.withColumn("__z", z).withColumn("__n", F.count(F.lit(1)).over(whole_series())).where(F.col("__n") >= CUSUM_LEAST)
     for side, sign in (("up", 1), ("down", -1)):
-        p = p.withColumn(f"__c_{side}", F.sum(sign * F.col("__z") - CUSUM_K).over(UP_TO))
-        p = p.withColumn(f"s_{side}", F.col(f"__c_{side}") - F.least(F.lit(0.0), F.min(f"__c_{side}").over(UP_TO)))
-        zero = F.max(F.when(F.col(f"s_{side}") <= 0, F.col("ord"))).over(WHOLE)
+        p = p.withColumn(f"__c_{side}", F.sum(sign * F.col("__z") - CUSUM_K).over(up_to()))
+        p = p.withColumn(f"s_{side}", F.col(f"__c_{side}") - F.least(F.lit(0.0), F.min(f"__c_{side}").over(up_to())))
+        zero = F.max(F.when(F.col(f"s_{side}") <= 0, F.col("ord"))).over(whole_series())
         p = p.withColumn(f"__z_{side}", F.coalesce(zero, F.lit(0)))
     out = p.groupBy(*KEY).agg(
         F.count("*").alias("n"), F.max("centre").alias("centre"), F.max_by("s_up", "ord").alias("s_up"), F.max_by("s_down", "ord").alias("s_down"),
@@ -183,7 +196,7 @@ MAX_GAP, LEAST_DAYS = 365, 365
 
 def time_in_range(s: DataFrame) -> DataFrame:
     """Rosendaal's share of days in range by straight lines between neighbours, and the gaps left out."""
-    nxt = lambda c: F.lead(c).over(W)
+    nxt = lambda c: F.lead(c).over(in_order())
     p = s.withColumn("__d", F.datediff(dates.day(nxt("fecha")), dates.day(F.col("fecha")))).withColumn("__p0", ranges.normalized(F.col("value_num"), F.col("ref_low"), F.col("ref_high")))
     p = p.withColumn("__p1", nxt("__p0"))
     used = (F.col("__d") > 0) & (F.col("__d") <= MAX_GAP) & (F.col("__p0.kind") == F.col("__p1.kind"))
@@ -201,7 +214,7 @@ def summary(s: DataFrame) -> DataFrame:
 
 def whole_period_change(s: DataFrame) -> DataFrame:
     """Percent change since the previous and since the first point; null on a base of 0."""
-    p = with_previous(s).withColumn("first", F.first("value_num").over(W)).where("back = 1 AND ord > 1")
+    p = with_previous(s).withColumn("first", F.first("value_num").over(in_order())).where("back = 1 AND ord > 1")
     pct = lambda c: F.when(F.col(c) != 0, indices.percent_change(F.col(c), F.col("value_num")))
     return p.select(*KEY, pct("previous").alias("pct_last"), pct("first").alias("pct_whole"))
 
@@ -241,7 +254,7 @@ def heatmap_labels(cells: DataFrame, columns: int = 24) -> DataFrame:
 
 def labs_in_order(s: DataFrame) -> DataFrame:
     """Labs of each series by first appearance; an unknown lab is ''."""
-    first = s.withColumn("ord", F.row_number().over(W)).groupBy(*KEY, F.coalesce("lab", F.lit("")).alias("lab")).agg(F.min("ord").alias("first"))
+    first = s.withColumn("ord", F.row_number().over(in_order())).groupBy(*KEY, F.coalesce("lab", F.lit("")).alias("lab")).agg(F.min("ord").alias("first"))
     return first.select(*KEY, "lab", F.row_number().over(Window.partitionBy(*KEY).orderBy("first")).alias("place"))
 
 
@@ -260,7 +273,7 @@ def rolling_ratio(s: DataFrame, back: int = 365, gap: int = 8) -> DataFrame:
 
 def filled_band(s: DataFrame) -> DataFrame:
     """A missing bound drawn at the smallest (largest) known one of the series."""
-    return s.withColumn("band_low", F.coalesce("ref_low", F.min("ref_low").over(WHOLE))).withColumn("band_high", F.coalesce("ref_high", F.max("ref_high").over(WHOLE)))
+    return s.withColumn("band_low", F.coalesce("ref_low", F.min("ref_low").over(whole_series()))).withColumn("band_high", F.coalesce("ref_high", F.max("ref_high").over(whole_series())))
 
 
 def sufficiency(s: DataFrame, least: int = 4) -> DataFrame:

@@ -17,7 +17,9 @@ MANUAL_LAB = "Entrada manual"
 
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From "name type, ..."; needs no session."""
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(","))])
 
 
 TABLES: dict[str, T.StructType] = {
