@@ -117,10 +117,10 @@ def rcv_limits_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TOTAL}, {VARIATION_SQL}, g AS (SELECT patient_id, canonical_id, count(*) AS n, count(DISTINCT coalesce(lab, '')) AS labs, avg(value_num) AS centre FROM s WHERE back > 1 AND coalesce(flag, 'normal') = 'normal' AND (ref_low IS NOT NULL OR ref_high IS NOT NULL) GROUP BY ALL HAVING count(*) >= 3),
 h AS (SELECT g.*, 1.96 * sqrt((n + 1) / n) * sqrt(cvi * cvi + cva * cva) AS half FROM g JOIN bv USING (canonical_id))
-SELECT patient_id, canonical_id, n, labs, round(centre, 3) AS centre, round(greatest(0, centre * (1 - half / 100)), 3) AS low, round(centre * (1 + half / 100), 3) AS high FROM h""")
+SELECT patient_id, canonical_id, n, labs, round(centre, 6) AS centre, round(greatest(0, centre * (1 - half / 100)), 4) AS low, round(centre * (1 + half / 100), 4) AS high FROM h""")
 def personal_range(spark: SparkSession, sf: str) -> DataFrame:
     """G10."""
-    return S.personal_range(orders_series(spark, sf, False), variation(spark)).select(*K, "n", "labs", *[F.round(c, 3).alias(c) for c in ("centre", "low", "high")])
+    return S.personal_range(orders_series(spark, sf, False), variation(spark)).select(*K, "n", "labs", *r6("centre"), *[F.round(c, 4).alias(c) for c in ("low", "high")])
 
 
 @query(f"""WITH {ONE_LAB}, {VARIATION_SQL}, o AS (SELECT s.*, sigma, row_number() OVER (PARTITION BY patient_id ORDER BY fecha, result_id) AS i, (flag = 'normal') AS steady FROM s JOIN bv USING (canonical_id) WHERE value_num > 0),
