@@ -173,15 +173,15 @@ def clear_import(tables: Tables, filename: str) -> Tables:
 def merge_patients(tables: Tables, mapping: DataFrame) -> Tables:
     """``mapping`` (source, target): reports move; one whose number the target has goes with its results; the target's
     blanks are filled; targets and readings move, the destination's own win."""
-    m = F.broadcast(mapping)
-    to = lambda df: df.join(m, df.patient_id == F.col("source"), "left").withColumn("__moved", F.col("target").isNotNull().cast("int")).withColumn("patient_id", F.coalesce("target", "patient_id")).drop("source", "target")
+    m = F.broadcast(mapping.select(F.col("source").alias("__source"), F.col("target").alias("__target")))
+    to = lambda df: df.join(m, df.patient_id == F.col("__source"), "left").withColumn("__moved", F.col("__target").isNotNull().cast("int")).withColumn("patient_id", F.coalesce("__target", "patient_id")).drop("__source", "__target")
     moved = to(tables["reports"])
     number = F.when(F.coalesce("report_number", F.lit("")) != "", F.col("report_number")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
     reports = keep_one(moved, [F.col("patient_id"), number], "__moved", "id").drop("__moved").select(tables["reports"].columns)
     out = {**tables, "reports": reports, "results": tables["results"].join(reports.select(F.col("id").alias("report_id")), "report_id", "left_semi").select(tables["results"].columns)}
     fill = [c for c in tables["patients"].columns if c not in ("id", "full_name", "name_key")]
-    sources = tables["patients"].join(m, F.col("id") == F.col("source")).groupBy("target").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fill])
-    kept = tables["patients"].join(mapping.select(F.col("source").alias("id")), "id", "left_anti").join(sources, F.col("id") == F.col("target"), "left")
+    sources = tables["patients"].join(m, F.col("id") == F.col("__source")).groupBy("__target").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fill])
+    kept = tables["patients"].join(mapping.select(F.col("source").alias("id")), "id", "left_anti").join(sources, F.col("id") == F.col("__target"), "left")
     out["patients"] = kept.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in fill else F.col(c) for c in tables["patients"].columns])
     for name, key in (("targets", "canonical_id"), ("bp_readings", "measured_at")):
         if name in tables:
