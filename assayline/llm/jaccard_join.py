@@ -55,7 +55,7 @@ class JoinParameters:
     sample_docs: int = 4_000
     frequent: int = 50_000
     #: Bits of a parity bitmap.
-    bits: int = 2048
+    bits: int = 1024
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[int]:
@@ -356,11 +356,19 @@ def across(holders: DataFrame, nodes: DataFrame, labels: DataFrame, p: JoinParam
 
 
 def linked(found: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: JoinParameters) -> DataFrame:
-    """(node, root) of the nodes that link with another, from candidates to components."""
-    edges = checkpoint(verified(checkpoint(close(found.where("run IS NULL").select("a", "b").distinct(), nodes, p)), nodes, fetch, p))
+    """(node, root) of the nodes that link with another, from candidates to components.
+
+    First each node is tested against the smallest candidate it has, which joins most groups of near copies; only
+    candidates that are still in different components are tested after that.
+    """
+    pairs = found.where("run IS NULL").select("a", "b").distinct()
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = checkpoint(verified(checkpoint(close(first, nodes, p)), nodes, fetch, p))
     labels = connected(edges)
+    ends = [labels.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
+    apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
     holders = found.where("run IS NOT NULL").select("run", F.col("b").alias("fp")).distinct()
-    rest = checkpoint(across(holders, nodes, labels, p))
+    rest = checkpoint(close(apart, nodes, p).union(across(holders, nodes, labels, p)).distinct())
     return labels if rest.isEmpty() else connected(edges.union(verified(rest, nodes, fetch, p)))
 
 
