@@ -6,7 +6,7 @@ context. Equal contexts are counted, not gathered; contexts that stand alone wit
 to suffix arrays: the concatenated contexts of a task are sorted in two stages (the suffixes smaller than their successors
 directly, the others induced by scanning the buckets), and neighbours in the array whose common prefix reaches the window
 are repeats. An anchor with more distinct contexts than ``most_contexts`` (a passage in a great share of all texts) is
-split further, down to single windows, which are counted. All of it is exact but for 64-bit hash values.
+split further, into blocks of windows and down to single windows, which are counted. All of it is exact but for 64-bit hash values.
 
 Null and empty texts have no bytes (the digest of the empty string). Texts shorter than the window lose nothing. Rows that
 repeat both doc_id and text lose what each other repeats; any other rows are texts of their own, whatever their ids. An
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only, raw_texts, text_slices, width
+from .common import checkpoint, only, raw_texts, stored, text_slices, width
 from .kernels import _BYTES, _power, mix
 
 _U = np.uint64
@@ -37,6 +37,8 @@ class SuffixParameters:
     anchor: int = 32
     #: Distinct contexts of one anchor that a suffix array takes, at most.
     most_contexts: int = 2_048
+    #: Neighbouring windows of a context beyond that which are compared as one first.
+    block: int = 16
     #: Contexts of a task's suffix array, about.
     task_contexts: int = 2_500
     #: Windows of a text looked at in one step.
@@ -202,7 +204,7 @@ def repeats(docs: DataFrame, p: SuffixParameters = SuffixParameters()) -> DataFr
             yield pa.RecordBatch.from_pydict({"rid": pa.array(np.repeat(rids, n)), "anchor": pa.array(cat[0]), "ctx": pa.array(cat[1]), "at": pa.array(cat[2].astype(np.int32)), "n": pa.array(cat[3].astype(np.int32))})
 
     long = _keyed(docs).where(F.octet_length("text") >= p.window)
-    every = checkpoint(long.select("rid", "text").mapInArrow(cut, "rid long, anchor long, ctx long, at int, n int"))
+    every = stored(long.select("rid", "text").mapInArrow(cut, "rid long, anchor long, ctx long, at int, n int"))
     distinct = every.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at", "n")).alias("x"))
     totals = distinct.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where("all > 1")
     shared = checkpoint(distinct.join(totals, "anchor").select("anchor", "ctx", "copies", "kinds", "x.rid", "x.at", "x.n"))
@@ -220,7 +222,7 @@ def repeats(docs: DataFrame, p: SuffixParameters = SuffixParameters()) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "ctx", "copies", "kinds", "piece"])
 
     texts = _keyed(docs).join(places, "rid").select("text", "own").mapInArrow(fetch, "anchor long, ctx long, copies long, kinds long, piece binary")
-    pieces = checkpoint(texts)
+    pieces = stored(texts)
     buckets = int(max(width(docs.sparkSession), mixed.count() // p.task_contexts + 1))
 
     def sort(table: pa.Table) -> pa.Table:
@@ -235,17 +237,29 @@ def repeats(docs: DataFrame, p: SuffixParameters = SuffixParameters()) -> DataFr
     out_schema = "anchor long, ctx long, runs array<struct<lo:int,hi:int>>"
     sorted_out = pieces.where(F.col("kinds") <= p.most_contexts).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, out_schema)
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[tuple] = []
             for anchor, ctx, copies, piece in zip(*(b.column(c).to_pylist() for c in ("anchor", "ctx", "copies", "piece")), strict=True):
-                at = np.arange(len(piece) - p.window + 1)
-                h = Hashes(np.frombuffer(piece, np.uint8)).of(at, at + p.window)
-                n = len(at)
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(np.full(n, anchor)), "ctx": pa.array(np.full(n, ctx)), "copies": pa.array(np.full(n, copies)), "w": pa.array(at.astype(np.int32)), "h": pa.array(h.view(np.int64))})
-
-    windows = pieces.where(F.col("kinds") > p.most_contexts).dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "copies", "piece").mapInArrow(single, "anchor long, ctx long, copies long, w int, h long")
-    twice = windows.groupBy("h").agg(F.sum("copies").alias("c")).where("c > 1").select("h")
-    split = windows.join(twice, "h", "left_semi").groupBy("anchor", "ctx").agg(F.collect_list(F.struct(F.col("w").alias("lo"), F.col("w").alias("hi"))).alias("runs"))
+                h, n = Hashes(np.frombuffer(piece, np.uint8)), len(piece) - p.window + 1
+                at = np.arange(len(piece) - p.anchor + 1)
+                here = int(np.flatnonzero(h.of(at, at + p.anchor).view(np.int64) == anchor)[0])
+                windows = h.of(np.arange(n), np.arange(n) + p.window).view(np.int64)
+                # blocks end at fixed distances from the anchor, so equal ones have equal bounds
+                edge = np.unique(np.concatenate(([0], np.arange(here % p.block, n, p.block), [n])))
+                subs = h.of(edge[:-1], edge[1:] + p.window - 1).view(np.int64)
+                rows.extend((anchor, ctx, copies, int(i), s, windows[i:j]) for i, j, s in zip(edge, edge[1:], subs.tolist(), strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["anchor", "ctx", "copies", "lo", "sub", "windows"])
+
+    # too many kinds: equal blocks of windows are counted, and windows of the blocks that stand alone, against both
+    hot = pieces.where(F.col("kinds") > p.most_contexts).dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "copies", "piece")
+    cut_up = hot.mapInArrow(blocks, "anchor long, ctx long, copies long, lo int, sub long, windows array<long>")
+    kinds = cut_up.groupBy("sub").agg(F.sum("copies").alias("c"), F.first("windows").alias("w")).where("c > 1")
+    whole = cut_up.join(kinds.select("sub"), "sub", "left_semi").select("anchor", "ctx", "lo", (F.col("lo") + F.size("windows") - 1).alias("hi"))
+    lone = cut_up.join(kinds.select("sub"), "sub", "left_anti").select("anchor", "ctx", "copies", "lo", F.posexplode("windows").alias("i", "h"))
+    counts = lone.select("h", "copies").unionByName(kinds.select(F.explode("w").alias("h"), F.col("c").alias("copies"))).groupBy("h").agg(F.sum("copies").alias("c")).where("c > 1")
+    single = lone.join(counts, "h", "left_semi").select("anchor", "ctx", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i")).alias("hi"))
+    split = whole.unionByName(single).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     marks = alone.unionByName(sorted_out).unionByName(split)
     hits = every.join(marks, ["anchor", "ctx"]).select("rid", "at", F.explode("runs").alias("r"))
     return hits.select("rid", (F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))
