@@ -83,3 +83,11 @@ class Words:
 
 def per_text(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
+
+
+def rolling(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place of a buffer on."""
+    up, down = _power(len(buf) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * up[: len(buf)], dtype=np.uint64)))
+        return mix((total[k:] - total[:-k]) * down[: len(buf) - k + 1])
