@@ -89,6 +89,14 @@ def test_lines_equal_brute_force(small):
     assert {r.doc_id: list(r.removed) for r in line_dedup.removed(small).collect() if r.removed} == want
 
 
+def test_text_of_many_lines(spark):
+    words = [f"w{i:05d}" for i in range(70_000)]
+    tokens, first = line_dedup.line_sets([w.encode() for w in words], 12)
+    assert len(first) == 70_001 and (np.diff(first) == 1).all() and len(set(tokens.tolist())) == 70_000
+    docs = spark.createDataFrame([(1, "\n".join(words)), (2, f"{words[0]}\nsome other line\n{words[-1]}")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.removed(docs).collect()} == {1: (70_000, []), 2: (3, [0, 2])}
+
+
 def test_pieces_equal_the_library():
     import public_tokenizers
 
