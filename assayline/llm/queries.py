@@ -11,7 +11,7 @@ from .common import documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(documents(spark, sf_dir))
+    return line_dedup.report(documents(spark, sf_dir), line_dedup.PRODUCTION)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,41 @@ def test_text_of_many_lines(spark):
     assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.removed(docs).collect()} == {1: (70_000, []), 2: (3, [0, 2])}
 
 
+def test_short_fuzzy_lines(spark, tmp_path):
+    from assayline.llm import queries
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for size in range(40, 91):
+        line = (" ".join(word(rng.randint(3, 8)) for _ in range(20)))[:size]
+        at = rng.randrange(size)
+        other = [line[:at] + "#" + line[at + 1 :]]
+        if size >= 80:  # a word of four letters in the middle
+            other.append(line[:38] + " " + word(4) + " " + line[44:])
+            line = line[:38] + " " + word(4) + " " + line[44:]
+            other[0] = line[:at] + "#" + line[at + 1 :]
+        rows += [(1000 * size + i, x) for i, x in enumerate([line, *other])]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for _, x in rows]
+    root = linked_components(sets, 75)
+    assert all(root[k] != k for k, (i, _) in enumerate(rows) if i % 1000)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: int(root[k] != k) for k, (i, _) in enumerate(rows)}
+
+
+def test_short_shingles_equal_brute_force(small):
+    rows = sorted(texts(small))
+    lines = [(i, j, x) for i, t in rows for j, x in enumerate(t.encode().split(b"\n")) if x and not x.isspace()]
+    tokens, first = line_dedup.line_sets([x for *_, x in lines], line_dedup.PRODUCTION.chars)
+    root = linked_components([set(tokens[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)], 75)
+    want = {}
+    for k, (i, j, _) in enumerate(lines):
+        if root[k] != k:
+            want.setdefault(i, []).append(j)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed(small, line_dedup.PRODUCTION).collect() if r.removed} == want
+
+
 def test_pieces_equal_the_library():
     import public_tokenizers
 
