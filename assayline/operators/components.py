@@ -30,4 +30,6 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if seen == size:
             break
         size = seen
+    else:
+        raise RuntimeError("components have not settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -158,3 +158,38 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     ingest.ingest_available(spark, str(tmp_path / "in"), "doc_id long, body string", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     key = lambda df: sorted((r.doc_id, r.value_num) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(parsing.parse_reports(docs))
+
+
+def _roots(edges):
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in up}
+
+
+def test_components_of_the_whole_table(spark):
+    from assayline.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    got = catalog.QUERIES["alias_components_all"](spark, sf).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.root for r in got} == _roots({(f"p{r.l_partkey % 400}", f"s{r.l_suppkey}") for r in rows})
+
+
+def test_components_that_have_not_settled(spark):
+    from assayline.operators import components
+
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)]
+    df = spark.createDataFrame(edges, "a string, b string")
+    assert {r.node: r.root for r in components.connected(df).collect()} == _roots(edges)
+    with pytest.raises(RuntimeError):
+        components.connected(df, rounds=2)
