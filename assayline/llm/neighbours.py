@@ -3,11 +3,11 @@
 Each half of a vector is quantised by a codebook of its own; a cell is a pair of centroids. A query pops cells from a heap
 by the sum of its two distances until it has met enough candidates, and the candidates' original vectors are reranked in
 double precision. The codebooks are fitted on a bounded sample; every row is indexed. Heavy cells are cut into blocks of
-bounded size, so a vector that a third of the rows share spreads over many tasks, and each block answers every query
-that probes it.
+bounded size by a hash of id and vector, so a vector or an id that a third of the rows share spreads over many tasks, and
+each block answers every query that probes it with its nearest distinct ids.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, nor do
-null ids. Rows that share a vec_id count as one neighbour, at the smallest of their distances. Ties go to the smaller
+null ids. Equal rows are indexed once. Rows that share a vec_id count as one neighbour, at the smallest of their distances. Ties go to the smaller
 vec_id. With no valid vector there are no rows. Columns other than vec_id and embedding are ignored.
 """
 
@@ -89,7 +89,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParameters()) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's nearest rows found."""
-    spark, rows = vectors.sparkSession, valid(vectors)
+    spark, rows = vectors.sparkSession, valid(vectors).distinct()
     out_schema = "query_id long, vec_id long, score double"
     sample = sorted(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample_rows).collect())
     if not sample:
@@ -127,7 +127,7 @@ def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParam
 
     probes = rows.where(is_query).mapInArrow(probe, "block long, query_id long, q array<double>")
     blocks = F.element_at(F.array(*[F.lit(int(x)) for x in cuts]), F.col("cell") + 1) if n_cells <= 4096 else F.lit(1)
-    index = index.select(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("vec_id"), blocks.cast("long"))).alias("block"), "vec_id", "v")
+    index = index.select(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("vec_id", "v"), blocks.cast("long"))).alias("block"), "vec_id", "v")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         """The nearest rows of one block for each query that probes it."""
@@ -135,6 +135,9 @@ def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParam
         if not left.num_rows or not right.num_rows:
             return none
         ids, m = np.asarray(left.column("vec_id")), _matrix(left.column("v").combine_chunks())
+        by_id = np.argsort(ids, kind="stable")
+        ids, m = ids[by_id], m[by_id]
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         queries, q = np.asarray(right.column("query_id")), _matrix(right.column("q").combine_chunks())
         out: list[tuple] = []
         norms = (m * m).sum(1)
@@ -144,9 +147,9 @@ def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParam
             for i in range(len(near)):
                 d = near[i]
                 d[ids == queries[at + i]] = np.inf
-                # a margin far above rounding keeps every row that could be among the nearest
-                if len(d) > p.neighbours:
-                    edge = np.partition(d, p.neighbours - 1)[p.neighbours - 1]
+                # the edge is the last place's distance over distinct ids; a margin far above rounding keeps every row that could be among the nearest
+                if len(starts) > p.neighbours:
+                    edge = np.partition(np.minimum.reduceat(d, starts) if len(starts) < len(d) else d, p.neighbours - 1)[p.neighbours - 1]
                     keep = np.flatnonzero(d <= edge + 1e-9 * (1 + abs(edge)))
                 else:
                     keep = np.arange(len(d))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayline.llm import components, jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup
 from assayline.llm.kernels import Words
@@ -206,6 +207,22 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("p", [neighbours.IndexParameters(centroids=1), neighbours.IndexParameters(centroids=1, block_rows=20, blocks=1)])
+def test_neighbours_of_repeated_ids(spark, p):
+    rng = np.random.default_rng(9)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 4)).astype(np.float32))]
+    near = np.array(rows[0][1])
+    rows += [(1, (near + e).astype(np.float32).tolist()) for e in rng.normal(size=(15, 4)) / 100]  # a nearest id of many vectors
+    rows += [rows[2]] * 12 + rows
+    want = {}
+    for i, x in rows[1:]:
+        if i:
+            want[i] = min(want.get(i, np.inf), float(np.sqrt(((np.array(x) - near) ** 2).sum())))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, p).collect())
+    best = sorted((d, i) for i, d in want.items())[:10]
+    assert [i for _, i, _ in got] == [i for _, i in best] and [d for *_, d in got] == pytest.approx([d for d, _ in best])
+
+
 def test_mixing(small):
     docs = small
     rows = mixing.mix(docs).collect()
