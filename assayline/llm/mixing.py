@@ -102,19 +102,20 @@ def ranked(docs: DataFrame, p: MixParameters) -> tuple[DataFrame, list]:
 
 
 def with_cuts(rows: DataFrame, sums: list, p: MixParameters) -> DataFrame:
-    """Adds to each row its source's target and its place in the source's permutation: ``before`` words and ``rank`` blocks."""
+    """Adds to each row its source's target and its place in the source's permutation: ``before`` words, ``rank`` blocks, ``full`` of them with words."""
     spark: SparkSession = rows.sparkSession
     goal = targets([(s.source, s.words) for s in sums], p)
     owed = [(s.source, s.words, s.n, goal[s.source], int(np.floor(goal[s.source] + 0.5))) for s in sums]
     dim = spark.createDataFrame(owed, "source string, source_size long, source_docs long, target double, owed long")
     dim = dim.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("owed div source_size")).otherwise(0)).withColumn("left_over", F.col("owed") - F.col("epochs") * F.col("source_size"))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+    has_words = (F.col("size") > 0).cast("long")
+    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.sum(has_words).alias("f"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("w").over(up_to), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n0"))
+    offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("w").over(up_to), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n0"), F.coalesce(F.sum("f").over(up_to), F.lit(0)).alias("f0"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("w1"), F.count(F.lit(1)).over(inside).alias("n1"))
-    placed = local.alias("a").join(offsets.alias("o"), same("a", "o") & (F.col("a.bucket") == F.col("o.bucket"))).select("a.doc_id", "a.source", "a.size", "a.key", (F.col("w0") + F.col("w1")).alias("before"), (F.col("n0") + F.col("n1")).alias("rank"))
+    local = rows.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("w1"), F.count(F.lit(1)).over(inside).alias("n1"), F.coalesce(F.sum(has_words).over(inside), F.lit(0)).alias("f1"))
+    placed = local.alias("a").join(offsets.alias("o"), same("a", "o") & (F.col("a.bucket") == F.col("o.bucket"))).select("a.doc_id", "a.source", "a.size", "a.key", (F.col("w0") + F.col("w1")).alias("before"), (F.col("n0") + F.col("n1")).alias("rank"), (F.col("f0") + F.col("f1")).alias("full"))
     out = placed.alias("p").join(F.broadcast(dim).alias("d"), same("p", "d")).drop(F.col("d.source"))
     extra = F.least(F.greatest(F.col("left_over") - F.col("before"), F.lit(0)), F.col("size"))
     return out.withColumn("extra", extra).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
@@ -128,8 +129,8 @@ def mix(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
     quota.sort(key=lambda x: (x.source is None, x.source or ""))
     leaves = split_quotas([q.blocks for q in quota], p.shards, p.seed)
     ends = placed.sparkSession.createDataFrame([(q.source, [int(x) for x in np.cumsum(leaves[:, i])]) for i, q in enumerate(quota)], "source string, ends array<long>")
-    copies = F.transform(F.sequence(F.lit(0), F.col("epochs").cast("int")), lambda c: F.struct(c.alias("pass"), F.when(c < F.col("epochs"), F.col("size")).otherwise(F.col("extra")).alias("words"), (c * F.col("source_docs") + F.col("rank")).alias("at")))
-    # the last pass is there only for the documents that the left-over words reach
+    copies = F.transform(F.sequence(F.lit(0), F.col("epochs").cast("int")), lambda c: F.struct(c.alias("pass"), F.when(c < F.col("epochs"), F.col("size")).otherwise(F.col("extra")).alias("words"), (c * F.col("source_docs") + F.when(c < F.col("epochs"), F.col("rank")).otherwise(F.col("full"))).alias("at")))
+    # the last pass is there only for the documents that the left-over words reach, and counts none without words
     copies = F.filter(copies, lambda x: (x["pass"] < F.col("epochs")) | (F.col("extra") > 0))
     blocks = F.transform(copies, lambda x: F.struct(F.size(F.filter("ends", lambda e: e <= x["at"])).alias("shard"), F.xxhash64(F.lit(p.seed), "doc_id", x["pass"]).alias("place"), x["words"].alias("words")))
     return placed.alias("p").join(F.broadcast(ends).alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.doc_id", "p.source", "size", "source_size", "target", "taken", blocks.alias("blocks"))

@@ -238,6 +238,15 @@ def test_mixing(small):
     assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(sum(r.size for r in rows))
 
 
+def test_shards_hold_what_the_tree_deals(spark):
+    rows = [(i, "" if i % 3 else "a b c " * (1 + i % 5), "uvw"[i % 7 % 3]) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    held = Counter((b.shard, r.source) for r in got for b in r.blocks)
+    quota = [sum(n for (_, x), n in held.items() if x == s) for s in "uvw"]
+    leaves = mixing.split_quotas(quota, 16, 17)
+    assert held == Counter({(k, s): int(n) for k, row in enumerate(leaves) for s, n in zip("uvw", row, strict=True) if n})
+
+
 _texts = {}
 
 
