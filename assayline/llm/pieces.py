@@ -3,8 +3,8 @@
 A text becomes symbols, one per code point; an agenda of adjacent pairs, ordered by the score of the piece that they make
 (then leftmost), is merged from the top until no pair makes a piece. Where no piece of the vocabulary has the word mark
 after another character, merges can't cross a word's start, so each word is encoded once and remembered. Every word
-that a task meets first, and a whole text of each slice of an Arrow batch, are checked against the sentencepiece library, and every
-text's decoding is.
+that a task meets first, long ones in each slice, and of each slice of an Arrow batch the first whole text of up to 3,000
+code points, are checked against the sentencepiece library, and every text's decoding is.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows and null doc_ids are carried along. An empty
 table gives no rows. Columns other than doc_id and text are ignored.
@@ -206,6 +206,9 @@ class Coder:
         by_size: dict[int, list[str]] = {}
         for size, k in fresh:
             by_size.setdefault(size, []).append(k)
+        for k, theirs in zip(extra, self.library.encode(list(extra), num_threads=1) if extra else [], strict=True):
+            if (x := extra[k][0]) != theirs:
+                raise Mismatch(f"{k[:200]!r}: {x[:200]} here, {theirs[:200]} by the library")
         for words in by_size.values():
             ids = self.merge_many([MARK + k for k in words])
             for k, x, theirs in zip(words, ids, self.library.encode(words, num_threads=1), strict=True):

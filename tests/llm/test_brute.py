@@ -144,6 +144,18 @@ def test_pieces_equal_the_library():
         assert code.decode(ids) == code.library.decode(ids)
 
 
+def test_long_words_are_checked_against_the_library(monkeypatch):
+    import public_tokenizers
+
+    code, rng = pieces.Coder(public_tokenizers.path("piece_bpe_32k.model")), random.Random(10)
+    texts = ["".join(rng.choice("aé日本語🙂thetionß+/09") for _ in range(n)) for n in (48, 60, 700, 20_000)] + [" " * 60 + "x", "▁" * 50]
+    assert [code.encode(x) for x in texts] == code.library.encode(texts)
+    right = code.merge
+    monkeypatch.setattr(code, "merge", lambda x: right(x)[::-1])
+    with pytest.raises(pieces.Mismatch):
+        code.encode_many(["short words and " + "thetion" * 9])
+
+
 def test_quality_on_rows_never_learnt_from(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
