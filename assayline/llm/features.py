@@ -15,8 +15,21 @@ from .kernels import Words, mix
 _U = np.uint64
 
 
+def characters(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The text that each code point belongs to, and its UTF-8 bytes as one number; a blank ends each text."""
+    at = np.flatnonzero((w.buf & 0xC0) != 0x80)
+    wide = np.concatenate((w.buf, np.zeros(3, np.uint8)))
+    symbols, more = w.buf[at].astype(np.uint64), np.ones(len(at), bool)
+    for j in (1, 2, 3):
+        more &= (wide[at + j] & 0xC0) == 0x80
+        symbols |= np.where(more, wide[at + j], 0).astype(np.uint64) << _U(8 * j)
+    return np.searchsorted(w.bounds, at, side="right") - 1, symbols
+
+
 class Hasher:
-    """Word n-grams and, where asked for, byte n-grams of each text, hashed into ``2 ** bits`` places each.
+    """Word n-grams and, where asked for, n-grams of code points of each text, hashed into ``2 ** bits`` places each.
+
+    No n-gram reaches into another text, so a text's features don't depend on what it is batched with.
 
     With ``repeats``, each word 3-gram that came before in its text also counts towards one place of its own.
     Every occurrence weighs 1 / sqrt(occurrences of its kind in the text).
@@ -45,16 +58,16 @@ class Hasher:
             rows[0].append(again)
             places[0].append(np.zeros(len(again), np.int64))
         if self.chars:
-            owner = np.repeat(np.arange(n), np.diff(w.bounds))
-            buf = w.buf.astype(np.uint64)
+            of, symbols = characters(w)
             for k in self.chars:
-                m = max(0, len(buf) - k + 1)
-                h = np.full(m, k, np.uint64)
+                m = max(0, len(symbols) - k + 1)
+                own = np.flatnonzero(of[:m] == of[k - 1 :]) if m else np.zeros(0, np.int64)
+                h = np.full(len(own), k, np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(k):
-                        h = h * _U(257) + buf[j : j + m]
-                rows[1].append(owner[:m])
-                places[1].append((mix(h) >> _U(64 - self.bits)).astype(np.int64) + (1 << self.bits))
+                        h = mix(h * _U(257) + symbols[own + j])
+                rows[1].append(of[own])
+                places[1].append((h >> _U(64 - self.bits)).astype(np.int64) + (1 << self.bits))
         out = []
         for r, p in zip(rows, places, strict=True):
             if r:
@@ -72,14 +85,17 @@ class Hasher:
 def learn_from(docs: DataFrame, labels: DataFrame, label: str, hasher: Hasher, most: int, keep: Column | None = None):
     """Features of at most ``most`` labelled rows, the same ones on every run: those whose ids hash lowest.
 
-    The bound is the only one: features are hashed on the executors, and the driver gets ``most`` sparse rows.
+    Of rows that share a doc_id one is learnt from, the text of the smallest hash. The bound is the only one: features are hashed on the executors, and the driver gets ``most`` sparse rows.
     Returns (labels, list of (places, values) of each row); a row's places are distinct.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     if keep is not None:
         picked = picked.where(keep)
-    picked = picked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    # one row for each id that has both a label and a text; a text's hash stands for it until the bound has chosen
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"))
+    both = picked.groupBy("doc_id").agg(F.max("y").alias("y")).join(texts.groupBy("doc_id").agg(F.min("mark").alias("mark")), "doc_id")
+    picked = both.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.join(F.broadcast(picked.withColumn("id", F.col("doc_id")).drop("doc_id")), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("mark"))).groupBy("doc_id").agg(F.first("text").alias("text"), F.max("y").alias("y"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):

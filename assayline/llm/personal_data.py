@@ -244,5 +244,7 @@ def written(spans: Column) -> Column:
 
 def report(docs: DataFrame, p: WeakParameters = WeakParameters()) -> DataFrame:
     """One row per document, for the query."""
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # a filter's function of two arguments gets the place as well, so each kind is bound outside it
+    of_kind = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return detect(docs, p).select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

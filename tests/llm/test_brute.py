@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.llm import components, jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup
+from assayline.llm.features import Hasher
 from assayline.llm.kernels import Words
 
 
@@ -164,6 +165,23 @@ def test_quality_on_rows_never_learnt_from(spark):
     assert np.mean([r.kept == (r.quality == 1) for r in kept]) >= 0.95
 
 
+def test_a_text_alone_scores_as_in_a_batch(small):
+    rng = random.Random(12)
+    raw = [t.encode() for _, t in texts(small)[:80]] + [b"", b"x", "é🙂日".encode(), b" "]
+    for hasher in (Hasher(12, words=(1, 2), chars=(3, 4)), Hasher(12, words=(1, 2), repeats=True)):
+        weights = np.random.default_rng(1).normal(size=hasher.size)
+        alone = [hasher.margins([t], weights, 0.5)[0] for t in raw]
+        order = rng.sample(range(len(raw)), len(raw))
+        assert hasher.margins([raw[i] for i in order], weights, 0.5).tolist() == [alone[i] for i in order]
+
+
+def test_character_grams_are_of_code_points():
+    h = Hasher(20, words=(), chars=(3,))
+    rows, places, _ = h([("é🙂日本".encode()), b"ab"])
+    # a blank ends each text: five code points make three 3-grams, three make one
+    assert Counter(rows.tolist()) == {0: 3, 1: 1} and len(set(places.tolist())) == 4
+
+
 def test_surface_counts():
     t = "a b c x a b c\n#5 %\n\na b\na b\n"
     s = {k: int(v[0]) for k, v in quality_rules.surface([t.encode()]).items()}
@@ -306,5 +324,7 @@ def test_personal_data_equals_patterns(spark):
     for i, t in rows:
         want = base_spans(t)
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        kinds = Counter(x.split(":")[0] for x in want.split(",") if x)
+        assert {k: got[i][f"n_{k}"] for k in PATTERNS} == {k: kinds[k] for k in PATTERNS}
         assert set(want.split(",")) - {""} <= set(got[i].spans.split(","))
     assert any("ssn" in r.spans for r in got.values())
