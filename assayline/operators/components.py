@@ -1,35 +1,34 @@
-"""Connected components of small graphs of names and ids, by alternating star contraction."""
+"""Connected components by alternating large-star and small-star steps (distributed union-find)."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dropped, stored
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assayline-"))
-    return df.checkpoint()
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node on an edge (a, b); root is the component's smallest node.
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of each node on an edge (a, b); root is the component's smallest node."""
-    now, size = _cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
-    for _ in range(rounds):
+    Steps are repeated until the edges settle, however many that takes. Minima are pre-aggregated before each shuffle, and
+    a node's links are never gathered into one row. Each round is written to the shared folder, so a lost executor costs one
+    round at most, and the round before it is deleted. Null ends and loops make no edge.
+    """
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = None
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
-        small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(pairs.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = _cut(small)
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if seen == size:
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
+        after = stored(small)
+        dropped(now)
+        now = after
+        # order-free fingerprint of the edge set
+        mark = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
+        if mark == before:
             break
-        size = seen
-    else:
-        raise RuntimeError("components have not settled")
+        before = mark
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
