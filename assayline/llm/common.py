@@ -1,9 +1,7 @@
-"""Session, checkpoint and Arrow helpers shared by the text operators."""
+"""Session and Arrow helpers shared by the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,36 +21,6 @@ def only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder of ``spark.checkpoint.dir``; without that setting (tests), a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="assayline-checkpoint-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage as ``checkpoint`` does, through Parquet (columnar and compressed, for wide or large rows).
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        return checkpoint(df)
-    where = f"{base}/assayline-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    path = sc._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,29 +8,30 @@ agreed segment of a linked pair is indexed by both. In bands of small sets, wher
 segments are indexed together with their one-deletion neighbourhoods (a segment without one of its tokens), which tolerate
 two differences each. A set indexes into its own band and into the next smaller one if a partner can be there.
 
-Equal sets are one node from the start. A signature's holders are paired with its smallest holder and, in short runs, with
-each other; parity bitmaps, which bound the difference of two sets from below, drop pairs that can't link, and the others
-are verified on whole sets, in blocks of bounded size. What long runs still hold in different components is then compared
-all against all by bitmaps, in blocks, and verified alike. No link is lost, and no group is expanded into all pairs.
+Equal sets are one node from the start. Candidates, their verification on whole sets and components are ``linking``'s: no
+link between components is lost, and no group is expanded into all pairs.
 
 Empty or null texts have the empty set, which links with nothing. A text of fewer words than a shingle has one shingle,
-the whole sequence. Rows that share a doc_id are reported apart with the smallest component of any; a null doc_id has a
-null component and links nothing. An empty table gives no rows. Columns other than doc_id and text are ignored.
+the whole sequence. Rows are told apart by doc_id and text: different texts that share a doc_id are nodes of their own, and
+each row shows its own component; rows that repeat both are one node. A row with a null doc_id links like any other; its
+component is the smallest doc_id among the linked rows, null if none has one. An empty table gives no rows. Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only, raw_texts, text_slices, width
-from .components import connected
+from ..storage import freed, stored
+from . import linking
+from .common import only, raw_texts, text_slices, width
 from .kernels import Words, mix
 
 _U = np.uint64
@@ -45,17 +46,10 @@ class JoinParameters:
     segments: float = 0.45
     #: Largest set of the bands that use one-deletion neighbourhoods.
     small: int = 11
-    #: Runs of at most so many holders are paired fully at once.
-    short_run: int = 8
-    #: Signatures that one task compares.
-    task_signatures: int = 1_000_000
-    #: Sets in a block of a large candidate group, and of a long run.
-    block: int = 256
-    #: Documents (hashed choice) in which frequent tokens are looked for; they only steer cost, never the result.
+    #: Documents (hashed choice) in which frequent tokens and signatures are looked for; they only steer cost, never the result.
     sample_docs: int = 4_000
     frequent: int = 50_000
-    #: Bits of a parity bitmap.
-    bits: int = 1024
+    link: linking.LinkParameters = field(default_factory=linking.LinkParameters)
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[int]:
@@ -160,56 +154,48 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parity(tokens: np.ndarray, bits: int) -> bytes:
-    """A bitmap in which two sets differ in at most as many bits as tokens."""
-    return np.packbits((np.bincount((tokens >> _U(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+def keyed(docs: DataFrame) -> DataFrame:
+    """The id, the text, and the key that tells rows apart: of both."""
+    return only(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
 def sets(docs: DataFrame, p: JoinParameters) -> DataFrame:
-    """(doc_id, n, fp, bitmap) of each document; fp and bitmap are null for the empty set."""
+    """(rid, doc_id, n, fp) of each document; fp is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             found = shingles(raw_texts(b.column("text")), p.words)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([fingerprint(x) if len(x) else None for x in found], pa.int64()), "bitmap": pa.array([parity(x, p.bits) if len(x) else None for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"rid": b.column("rid"), "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([fingerprint(x) if len(x) else None for x in found], pa.int64())})
 
-    return only(docs).mapInArrow(run, "doc_id long, n long, fp long, bitmap binary")
+    return keyed(docs).mapInArrow(run, "rid long, doc_id long, n long, fp long")
 
 
-def frequent_tokens(docs: DataFrame, p: JoinParameters) -> tuple[np.ndarray, np.ndarray]:
-    every = max(1, docs.count() // p.sample_docs)
-    picked = only(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+def _sampled(docs: DataFrame, every: int, p: JoinParameters, what) -> DataFrame:
+    """(s): ``what`` gives a value or more for each set of the sampled documents."""
+    picked = keyed(docs).where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            found = shingles(raw_texts(b.column("text")), p.words)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64))})
+            found = [what(x) for x in shingles(raw_texts(b.column("text")), p.words) if len(x)]
+            yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))})
 
-    got = picked.mapInArrow(run, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(p.frequent).collect()
-    tokens = np.array([r["token"] for r in got], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.array([r["count"] for r in got], np.int64)[order]
+    return picked.mapInArrow(run, "s long")
 
 
-def pack(sig: list[np.ndarray], fps: list[int], buckets: int) -> pa.RecordBatch:
-    """One row for each bucket: the fingerprints, then the signatures' low 40 bits."""
-    n = [len(x) for x in sig]
-    s, f = np.concatenate(sig), np.repeat(np.array(fps, np.int64), n)
-    home = (s >> _U(40)) % _U(buckets)
-    order = np.argsort(home.astype(np.uint32), kind="stable")
-    s, f, home = s[order], f[order], home[order]
-    cut = np.searchsorted(home, np.arange(buckets + 1).astype(np.uint64))
-    full = np.flatnonzero(np.diff(cut))
-    low, high = s.astype(np.uint32), (s >> _U(32)).astype(np.uint8)
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "packed": pa.array([f[i:j].tobytes() + low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(cut[full], cut[full + 1], strict=True)], pa.binary())})
+def frequent_tokens(docs: DataFrame, every: int, p: JoinParameters) -> tuple[np.ndarray, np.ndarray]:
+    got = _sampled(docs, every, p, lambda x: x).groupBy("s").count().where("count >= 4").orderBy(F.desc("count"), "s").limit(p.frequent).collect()
+    tokens = np.array([r["s"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["count"] for r in got], np.int64)[order]
 
 
-def signatures(docs: DataFrame, p: JoinParameters, buckets: int) -> DataFrame:
+def signatures(docs: DataFrame, p: JoinParameters, buckets: int, frequent: tuple, hot: linking.Hot) -> DataFrame:
     """(bucket, packed): signatures and their sets' fingerprints, dealt by signature; equal sets of a task once."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, p))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen, sig, fps, held = Signer(p, sent.value), set(), [], [], 0
+        frequent, hot = sent.value
+        signer, seen, sig, fps, held = Signer(p, frequent), set(), [], [], 0
         for b in text_slices(batches):
             for x in shingles(raw_texts(b.column("text")), p.words):
                 if len(x) and (f := fingerprint(x)) not in seen:
@@ -219,183 +205,76 @@ def signatures(docs: DataFrame, p: JoinParameters, buckets: int) -> DataFrame:
                     fps.append(f)
                     held += len(sig[-1])
             if held > 3_000_000:
-                yield pack(sig, fps, buckets)
+                yield linking.pack(sig, fps, buckets, hot)
                 sig, fps, held = [], [], 0
         if held:
-            yield pack(sig, fps, buckets)
-
-    return only(docs).where("doc_id IS NOT NULL").mapInArrow(run, "bucket int, packed binary")
-
-
-RUN_SCHEMA = "run long, a long, b long"
-
-
-def runs(dealt: DataFrame, p: JoinParameters) -> DataFrame:
-    """Candidate pairs (run null), and the holders ``b`` of each long run (a null), from one pass over each bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sig, fps = [], []
-        for x in table.column("packed").to_pylist():
-            n = len(x) // 13
-            fps.append(np.frombuffer(x, np.int64, n))
-            sig.append(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.uint64) | (np.frombuffer(x, np.uint8, n, 12 * n).astype(np.uint64) << _U(32)))
-        s, f = np.concatenate(sig), np.concatenate(fps)
-        order = np.argsort(s, kind="stable")
-        s, f = s[order], f[order]
-        start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        size = np.diff(np.concatenate((start, [len(s)])))
-        shared = size > 1
-        pairs: set[tuple[int, int]] = set()
-        long: dict[bytes, np.ndarray] = {}
-        for i, n in zip(start[shared].tolist(), size[shared].tolist(), strict=True):
-            own = np.unique(f[i : i + n])
-            if len(own) < 2:
-                continue
-            if len(own) <= p.short_run:
-                x = own.tolist()
-                pairs.update((x[j], y) for j in range(len(x)) for y in x[j + 1 :])
-            else:
-                long[hashlib.blake2b(own.tobytes(), digest_size=8).digest()] = own
-        for own in long.values():
-            x = own.tolist()
-            pairs.update((x[0], y) for y in x[1:])
-        a, b = (np.array([q[k] for q in pairs], np.int64) for k in (0, 1))
-        keys = [np.full(len(v), int.from_bytes(k, "little", signed=True)) for k, v in long.items()]
-        members = np.concatenate([*long.values(), np.zeros(0, np.int64)])
-        return pa.table({"run": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64))]), "a": pa.concat_arrays([pa.array(a), pa.nulls(len(members), pa.int64())]), "b": pa.concat_arrays([pa.array(b), pa.array(members)])})
-
-    return dealt.groupBy("bucket").applyInArrow(run, RUN_SCHEMA)
-
+            yield linking.pack(sig, fps, buckets, hot)
 
-def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return only(docs).mapInArrow(run, "bucket int, packed binary")
 
 
-def close(pairs: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link."""
-    one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
-    t = p.percent
-    both = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = [np.frombuffer(b"".join(b.column(f"bitmap_{k}").to_pylist()), np.uint64).reshape(-1, p.bits // 64) for k in "ab"]
-            n = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
-            ok = _differ(*bits) * (100 + t) <= (100 - t) * n
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    return both.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: JoinParameters) -> DataFrame:
-    """The pairs that link, by exact intersection of whole sets.
-
-    Candidate groups are cut into blocks by their second ends; a block holds each of its sets once. ``fetch`` turns rows of
-    (block, fp) with the other columns of ``nodes`` into (block, fp, tokens).
-    """
-    groups = connected(pairs)
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    placed = pairs.join(groups.withColumnRenamed("node", "b"), "b").join(sizes, "root")
-    cuts = F.ceil(F.col("size") / p.block)
-    placed = checkpoint(placed.select("a", "b", F.xxhash64("root", F.pmod(F.xxhash64("b"), cuts)).alias("block")))
-    members = placed.select("block", F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.drop("n", "bitmap"), "fp")
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {fp: np.frombuffer(x, np.uint64) for fp, x in zip(left.column("fp").to_pylist(), left.column("tokens").to_pylist(), strict=True)}
-        out = []
-        for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):
-            x, y = have[a], have[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * shared >= p.percent * (len(x) + len(y) - shared):
-                out.append((a, b))
-        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
-
-    return fetch(members).groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(check, "a long, b long")
-
-
-def fetcher(docs: DataFrame, p: JoinParameters) -> Callable[[DataFrame], DataFrame]:
-    """Sets of whole documents; of rows that share a doc_id, the one whose set is the node's counts."""
+def material(docs: DataFrame, nodes: DataFrame, found: DataFrame, repeated: bool, p: JoinParameters) -> DataFrame:
+    """(fp, n, bitmap, body): the texts of the sets that are anyone's candidates; ``repeated`` if rows repeat id and text."""
+    want = stored(nodes.join(linking.candidates(found), "fp").select("rid", "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            found = shingles(raw_texts(b.column("text")), p.words)
-            own = pa.array([fingerprint(x) == fp for x, fp in zip(found, b.column("fp").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "fp": b.column("fp"), "tokens": pa.array([x.tobytes() for x in found], pa.binary())}).filter(own)
-
-    return lambda members: members.join(only(docs), "doc_id").select("block", "fp", "text").mapInArrow(run, "block long, fp long, tokens binary")
-
-
-def across(holders: DataFrame, nodes: DataFrame, labels: DataFrame, p: JoinParameters) -> DataFrame:
-    """Pairs of long runs' holders in different components whose bitmaps allow a link."""
-    known = holders.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).select("run", "fp", "label")
-    mixed = known.groupBy("run").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    side = F.ceil(F.col("size") / (8 * p.block)).cast("int")
-    rows = known.join(mixed.select("run", side.alias("side")), "run").join(nodes.select("fp", "n", "bitmap"), "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), "side").cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
-    rows = rows.select("run", "fp", "label", "n", "bitmap", "mine", F.explode(cells).alias("cell"))
-    t = p.percent
-
-    def run(table: pa.Table) -> pa.Table:
-        fp, label, n, mine = (np.asarray(table.column(c)) for c in ("fp", "label", "n", "mine"))
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, p.bits // 64)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        a, b = [], []
-        for x in range(len(fp)):
-            other = (fp > fp[x]) if i == j else (mine != mine[x]) & (fp > fp[x])
-            y = np.flatnonzero(other & (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * t))
-            y = y[_differ(bits[y], bits[x][None]) * (100 + t) <= (100 - t) * (n[y] + n[x])]
-            a.append(np.full(len(y), fp[x]))
-            b.append(fp[y])
-        return pa.table({"a": pa.array(np.concatenate(a).astype(np.int64)), "b": pa.array(np.concatenate(b).astype(np.int64))})
-
-    flat = rows.select("run", "fp", "label", "n", "bitmap", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
-    return flat.groupBy("run", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def linked(found: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: JoinParameters) -> DataFrame:
-    """(node, root) of the nodes that link with another, from candidates to components.
-
-    First each node is tested against the smallest candidate it has, which joins most groups of near copies; only
-    candidates that are still in different components are tested after that.
-    """
-    pairs = found.where("run IS NULL").select("a", "b").distinct()
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = checkpoint(verified(checkpoint(close(first, nodes, p)), nodes, fetch, p))
-    labels = connected(edges)
-    ends = [labels.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
-    apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    holders = found.where("run IS NOT NULL").select("run", F.col("b").alias("fp")).distinct()
-    rest = checkpoint(close(apart, nodes, p).union(across(holders, nodes, labels, p)).distinct())
-    return labels if rest.isEmpty() else connected(edges.union(verified(rest, nodes, fetch, p)))
+            bodies = raw_texts(b.column("text"))
+            n, maps = linking.sketched(bodies, lambda x: shingles(x, p.words), p.link.bits)
+            yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "n": n, "bitmap": maps, "body": pa.array(bodies, pa.binary())})
+
+    texts = keyed(docs).join(want, "rid").select("fp", "text")
+    return (texts.dropDuplicates(["fp"]) if repeated else texts).mapInArrow(run, "fp long, n long, bitmap binary, body binary")
 
 
 def links(docs: DataFrame, p: JoinParameters = JoinParameters()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, fp) of every document, and (node, root) of the sets that link with another."""
+    """(rid, doc_id, n, fp) of every document, and (node, root) of the sets that link with another."""
     spark = docs.sparkSession
-    every = checkpoint(sets(docs, p))
-    nodes = checkpoint(every.where("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bitmap").alias("bitmap")))
-    tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(width(spark), 2 * tokens // (3 * p.task_signatures) + 1))
-    found = checkpoint(runs(signatures(docs, p, buckets), p))
-    return every.select("doc_id", "n", "fp"), linked(found, nodes, fetcher(docs, p), p)
+    every = stored(sets(docs, p))
+    nodes = stored(every.where("fp IS NOT NULL").groupBy("fp").agg(F.min("rid").alias("rid"), F.max("n").alias("n")))
+    docs_in, tokens = (x or 0 for x in nodes.agg(F.count("*"), F.sum("n")).first())
+    one_in = max(1, docs_in // p.sample_docs)
+    frequent = frequent_tokens(docs, one_in, p)
+    signer = Signer(p, frequent)
+    hot = linking.hot(_sampled(docs, one_in, p, signer.signatures), one_in, p.link) if docs_in > p.link.shard_holders else linking.NO_HOT
+    buckets = int(max(width(spark), 2 * tokens // (3 * p.link.task_signatures) + 1))
+    found = stored(linking.runs(signatures(docs, p, buckets, frequent, hot), hot))
+    freed(spark)
+    repeated = not every.where("fp IS NOT NULL").groupBy("rid").count().where("count > 1").isEmpty()
+    bodies = stored(material(docs, nodes, found, repeated, p))
+    freed(spark)
+    return every, linking.linked(found, bodies, lambda x: shingles(x, p.words), p.link)
+
+
+def _components(docs: DataFrame, p: JoinParameters) -> DataFrame:
+    """(rid, doc_id, n, component, root) of each document; root is null for the empty set."""
+    every, labels = links(docs, p)
+    rooted = every.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
+    return rooted.join(least, "root", "left")
 
 
 def components(docs: DataFrame, p: JoinParameters = JoinParameters()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
-    every, labels = links(docs, p)
-    rooted = every.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
-    out = rooted.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return _components(docs, p).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, p: JoinParameters = JoinParameters()) -> DataFrame:
-    """The rows of ``docs`` less those that another row of their component, with a smaller doc_id, stands for."""
-    go = components(docs, p).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(go, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of ``docs`` for each component, the one of the smallest doc_id (a null one is the last); rows without a
+    word are all kept."""
+    rows = stored(_components(docs, p).where("root IS NOT NULL").groupBy("rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("at"), F.min("root").alias("root"), F.count("*").alias("copies")))
+    keep = rows.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.rid").alias("__kept"))
+    go = rows.join(keep, F.col("rid") == F.col("__kept"), "left_anti").select("rid")
+    mine = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # references bound to one side keep columns of the same name apart
+    out = docs.join(go, mine == go["rid"], "left_anti")
+    again = rows.where("copies > 1").select("rid")
+    if again.isEmpty():
+        return out
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    packed = out.select(F.struct("*").alias("row"), mine.alias("mine"), F.xxhash64(*plain).alias("mark"))
+    once = packed.join(again, packed["mine"] == again["rid"], "left_semi").groupBy("mine").agg(F.min_by("row", "mark").alias("row")).select("row.*")
+    return out.join(again, mine == again["rid"], "left_anti").unionByName(once)
 
 
 SQL = r"""

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..storage import stored
 
 WEIGHTS = (5, 2, 1)
 
@@ -94,7 +94,7 @@ def ranked(docs: DataFrame, p: MixParameters) -> tuple[DataFrame, list]:
     holds a third of the corpus is no larger a task than any other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size().alias("size"), order_key("doc_id", p.seed).alias("key"))
-    rows = checkpoint(rows.withColumn("bucket", F.substring("key", 1, 3)))
+    rows = stored(rows.withColumn("bucket", F.substring("key", 1, 3)))
     sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(p.max_sources + 1).collect()
     if len(sums) > p.max_sources:
         raise ValueError(f"more than {p.max_sources} sources")
@@ -124,7 +124,7 @@ def with_cuts(rows: DataFrame, sums: list, p: MixParameters) -> DataFrame:
 def mix(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
     """One row per document: what the mix takes of it, and ``blocks``, its passes with words, shard and local order."""
     rows, sums = ranked(docs, p)
-    placed = checkpoint(with_cuts(rows, sums, p))
+    placed = stored(with_cuts(rows, sums, p))
     quota = placed.groupBy("source").agg(F.sum(F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("blocks")).collect()
     quota.sort(key=lambda x: (x.source is None, x.source or ""))
     leaves = split_quotas([q.blocks for q in quota], p.shards, p.seed)

@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only
+from ..storage import stored
+from .common import only
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("ssn", "iban", "name")
@@ -228,7 +229,7 @@ def aggregator(found: DataFrame, p: WeakParameters = WeakParameters()) -> Aggreg
 
 def detect(docs: DataFrame, p: WeakParameters = WeakParameters()) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end), sorted."""
-    found = checkpoint(candidates(docs, p))
+    found = stored(candidates(docs, p))
     model = aggregator(found, p)
     bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.transform(F.filter("found", lambda s: s["base"]), bare)

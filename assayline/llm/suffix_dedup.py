@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only, raw_texts, stored, text_slices, width
+from ..storage import stored
+from .common import only, raw_texts, text_slices, width
 from .kernels import _BYTES, _power, mix
 
 _U = np.uint64
@@ -207,7 +208,7 @@ def repeats(docs: DataFrame, p: SuffixParameters = SuffixParameters()) -> DataFr
     every = stored(long.select("rid", "text").mapInArrow(cut, "rid long, anchor long, ctx long, at int, n int"))
     distinct = every.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at", "n")).alias("x"))
     totals = distinct.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    shared = checkpoint(distinct.join(totals, "anchor").select("anchor", "ctx", "copies", "kinds", "x.rid", "x.at", "x.n"))
+    shared = stored(distinct.join(totals, "anchor").select("anchor", "ctx", "copies", "kinds", "x.rid", "x.at", "x.n"))
     # contexts that only equal ones share an anchor with: all their windows repeat
     alone = shared.where("kinds = 1").select("anchor", "ctx", F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))).alias("runs"))
     mixed = shared.where("kinds > 1")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.llm import components, jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup
+from assayline.llm import jaccard_join, license_scan, line_dedup, linking, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup
 from assayline.llm.features import Hasher
 from assayline.llm.kernels import Words
 
@@ -50,18 +50,6 @@ def test_words_and_grams():
     assert len(at) == 5 and h[0] == h[3] == h[4]
 
 
-def test_components(spark):
-    rng = random.Random(2)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
-    up, find = union_find(301)
-    for a, b in edges:
-        x, y = find(a), find(b)
-        up[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(root == find(node) for node, root in got.items())
-    assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
-
-
 def test_jaccard_equals_brute_force(spark):
     rng, rows = random.Random(3), []
     for base in range(40):
@@ -73,12 +61,50 @@ def test_jaccard_equals_brute_force(spark):
             rows.append((len(rows), " ".join(w)))
     sets = [set() if not (w := t.lower().split()) else ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}) for _, t in rows]
     want = linked_components(sets, 75)
-    p = jaccard_join.JoinParameters(short_run=3, block=4, task_signatures=500)
+    p = jaccard_join.JoinParameters(sample_docs=50, link=linking.LinkParameters(block=4, star=3, task_signatures=500, task_tokens=300, offers=1, growth=2, shard_holders=2))
     for params in (jaccard_join.JoinParameters(), p):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()}
         assert got == {i: (len(sets[i]), want[i]) for i in range(len(rows))}
 
 
+def test_texts_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (3, "alone " + text[::-1]), (7, text + " more"), (7, "another text of its own with enough words in it"), (7, text + " more"), (None, text), (None, "no id and no partner for this one here")]
+    docs = spark.createDataFrame([(i, t, "clash", "c") for i, t in rows], "doc_id long, text string, rid string, __kept string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.components(docs).collect())
+    assert got == Counter([(1, 1), (3, 3), (7, 1), (7, 7), (7, 1), (None, 1), (None, None)])
+    left = jaccard_join.representatives(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(rows[i] for i in (0, 1, 3, 6))
+    again = spark.createDataFrame([(7, text), (7, text), (8, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.representatives(again).collect()) == [(7, text), (8, "x")]
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    rows = [(1, "the first line of it all\nand a second line"), (7, "the first line of it all\nkept here"), (7, "a unique line under the same id\nthe first line of it all"), (None, "the first line of it all\nno id")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 3) for i, t in rows], "doc_id long, text string, rid string, lines string, row int")
+    got = {tuple(r.removed): r.doc_id for r in line_dedup.removed(docs, line_dedup.PRODUCTION).collect()}
+    assert sorted(map(list, got)) == [[], [0], [1]]
+    left = line_dedup.deduplicated(docs, line_dedup.PRODUCTION)
+    assert left.columns == docs.columns
+    assert {r.text for r in left.collect()} == {rows[0][1], "kept here", "a unique line under the same id", "no id"}
+
+
+def test_minhashes_of_any_lengths():
+    rng = random.Random(11)
+    raw = ["".join(rng.choice("abcd é") for _ in range(rng.choice((0, 1, 3, 4, 5, 6, 40, 300, 5000)))).encode() for _ in range(300)]
+    p = line_dedup.PRODUCTION
+    together = line_dedup.minhashes(raw, p)
+    order = rng.sample(range(len(raw)), len(raw))
+    assert (line_dedup.minhashes([raw[i] for i in order], p) == together[order]).all()
+    assert all((line_dedup.minhashes([x], p)[0] == y).all() for x, y in zip(raw[:40], together, strict=False))
+    # the share of equal minima estimates the similarity of the sets
+    one, two = (" ".join(f"{rng.randint(0, 10**9)}" for _ in range(60)) for _ in range(2))
+    pair = line_dedup.minhashes([(one + two).encode(), (one + two[:40]).encode()], line_dedup.LineParameters(chars=5, rows=1, bands=400))
+    a, b = ({x[i : i + 5] for i in range(len(x) - 4)} for x in (one + two, one + two[:40]))
+    assert abs((pair[0] == pair[1]).mean() - len(a & b) / len(a | b)) < 0.1
+
+
 def test_lines_equal_brute_force(small):
     rows = sorted(texts(small))
     lines = [(i, j, x) for i, t in rows for j, x in enumerate(t.encode().split(b"\n")) if x and not x.isspace()]
