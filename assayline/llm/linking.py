@@ -42,12 +42,14 @@ class LinkParameters:
     hot: int = 50_000
     #: Holders of a run on each side of a block of comparisons.
     block: int = 2_048
+    #: Holders in a task of such comparisons, about.
+    task_holders: int = 50_000
     #: Candidates of one centre that are verified together, and tokens of a verification task, about.
     star: int = 256
     task_tokens: int = 1_000_000
     #: Pairs that a component offers from a block in the first round, and the growth from round to round.
     offers: int = 2
-    growth: int = 8
+    growth: int = 16
 
 
 class Hot:
@@ -75,8 +77,8 @@ def hot(sampled: DataFrame, every: int, p: LinkParameters) -> Hot:
     """From the signatures (long) of one set in ``every``."""
     least = max(4, p.shard_holders // max(every, 1))
     got = sampled.groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(p.hot).collect()
-    holders = np.array([r["count"] for r in got], np.int64) * every
-    return Hot(np.array([r["s"] for r in got], np.int64).view(np.uint64), -(-holders // p.shard_holders))
+    shards = -(-np.array([r["count"] for r in got], np.int64) * every // p.shard_holders)
+    return Hot(np.array([r["s"] for r in got], np.int64).view(np.uint64)[shards > 1], shards[shards > 1])
 
 
 def pack(sig: list[np.ndarray], fps: list[int], buckets: int, hot: Hot) -> pa.RecordBatch:
@@ -247,16 +249,65 @@ def verified(pairs: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkPa
     return members.groupBy("of").cogroup(placed.groupBy("block")).applyInArrow(check, "a long, b long")
 
 
+def _ranked(group: np.ndarray, gap: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by group, gap and pair, and each row's rank within its group."""
+    order = np.lexsort((b, a, gap, group))
+    own = group[order]
+    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    return order, np.arange(len(own)) - np.repeat(start, np.diff(np.concatenate((start, [len(own)]))))
+
+
+def offered(cell: np.ndarray, is_left: np.ndarray, fp: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray, offers: int, percent: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of the closest pairs that each left component offers in each cell, and the cells that hold pairs back.
+
+    Left rows are compared with all right rows of their cell; ``most`` comparisons are held at a time.
+    """
+    order = np.lexsort((is_left, cell))
+    cell, is_left, fp, label, n, bits = (x[order] for x in (cell, is_left, fp, label, n, bits))
+    _, start, own = np.unique(cell, return_index=True, return_inverse=True)
+    rights = np.bincount(own, weights=~is_left, minlength=len(start)).astype(np.int64)
+    left = np.flatnonzero(is_left)
+    work = np.cumsum(rights[own[left]])
+    kept, held, at = [], [], 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + most, side="right")))
+        x = left[at:to]
+        many = rights[own[x]]
+        y = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[own[x]], many)
+        x = np.repeat(x, many)
+        ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y = x[ok], y[ok]
+        gap = _differ(bits[x], bits[y])
+        ok = gap * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+        x, y, gap = x[ok], y[ok], gap[ok] / (n[x[ok]] + n[y[ok]])
+        kept.append((own[x], label[x], gap, np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])))
+        if to == len(left) or sum(len(k[0]) for k in kept) > 4 * most:
+            c, l, gap, a, b = (np.concatenate(z) for z in zip(*kept, strict=True))
+            _, group = np.unique(np.stack((c.astype(np.int64), l)), axis=1, return_inverse=True)
+            order, rank = _ranked(group, gap, a, b)
+            held.append(np.unique(c[order[rank >= offers]]))
+            best = order[rank < offers]
+            kept = [(c[best], l[best], gap[best], a[best], b[best])]
+        at = to
+    if not kept:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    back = np.unique(np.concatenate(held))
+    return kept[0][3], kept[0][4], cell[start[back]]
+
+
 def across(holders: DataFrame, material: DataFrame, labels: DataFrame, offers: int, p: LinkParameters) -> DataFrame:
-    """(a, b): the closest pairs of runs' holders in different components that bitmaps allow, so many for each component of a block.
+    """(run, a, b): the closest pairs of runs' holders in different components that bitmaps allow, so many for each component
+    of a cell (run null), and the runs that hold pairs back (a and b null).
 
-    A row of nulls says that a block has held pairs back. Of a run, the holders outside its largest component are compared
-    with all others; blocks bound both sides.
+    Of a run, the holders outside its largest component are compared with all others, in cells that bound both sides.
     """
     known = holders.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("run", "fp", F.coalesce("root", "fp").alias("label"))
     parts = known.groupBy("run", "label").agg(F.count("*").alias("m"))
     split = parts.groupBy("run").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    split = split.select("run", F.col("top.label").alias("most"), F.ceil(F.col("size") / p.block).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.m")) / p.block).cast("int").alias("lefts"))
+    split = stored(split.select("run", F.col("top.label").alias("most"), "size", (F.col("size") - F.col("top.m")).alias("few"), F.ceil(F.col("size") / p.block).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.m")) / p.block).cast("int").alias("lefts")))
+    work = split.agg(F.sum(F.col("size") * F.col("lefts") + F.col("few") * F.col("rights"))).first()[0] or 0
+    tasks = int(max(width(holders.sparkSession), work // p.task_holders + 1))
     rows = known.join(split, "run").join(material.select("fp", "n", "bitmap"), "fp")
     mine = lambda k: F.pmod(F.xxhash64("fp"), k).cast("int")
     cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
@@ -264,34 +315,21 @@ def across(holders: DataFrame, material: DataFrame, labels: DataFrame, offers: i
     cells = F.transform(upto("lefts"), lambda i: cell(i, mine(F.col("rights")), False))
     first = F.transform(upto("rights"), lambda j: cell(mine(F.col("lefts")), j, True))
     rows = rows.withColumn("cell", F.explode(F.concat(cells, F.when(F.col("label") != F.col("most"), first).otherwise(F.filter(cells, lambda x: F.lit(False))))))
-    t = p.percent
 
     def run(table: pa.Table) -> pa.Table:
-        fp, label, n = (np.asarray(table.column(c)) for c in ("fp", "label", "n"))
-        is_left = np.asarray(table.column("left"))
+        cell, left, fp, label, n = (np.asarray(table.column(c)) for c in ("cell", "left", "fp", "label", "n"))
         bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, p.bits // 64)
-        y, best = np.flatnonzero(~is_left), {}
-        held = False
-        for x in np.flatnonzero(is_left):
-            to = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * t)]
-            gap = _differ(bits[to], bits[x][None])
-            ok = gap * (100 + t) <= (100 - t) * (n[to] + n[x])
-            to, gap = to[ok], gap[ok] / (n[to][ok] + n[x])
-            if len(to) > offers:
-                held = True
-                near = np.argpartition(gap, offers)[:offers]
-                to, gap = to[near], gap[near]
-            best.setdefault(int(label[x]), []).extend(zip(gap.tolist(), np.minimum(fp[to], fp[x]).tolist(), np.maximum(fp[to], fp[x]).tolist(), strict=True))
-        out: set[tuple[int, int]] = set()
-        for offered in best.values():
-            offered = sorted(set(offered))
-            held |= len(offered) > offers
-            out.update((a, b) for _, a, b in offered[:offers])
-        rows = sorted(out)
-        return pa.table({"a": pa.array([r[0] for r in rows] + [None] * held, pa.int64()), "b": pa.array([r[1] for r in rows] + [None] * held, pa.int64())})
-
-    flat = rows.select("run", "fp", "label", "n", "bitmap", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.left").alias("left"))
-    return flat.groupBy("run", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        a, b, back = offered(cell, left, fp, label, n, bits, offers, p.percent)
+        runs = np.asarray(table.column("run"))[np.isin(cell, back)]
+        runs = np.unique(runs)
+        ends = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        k, m = ends.shape[1], len(runs)
+        none = lambda x: pa.nulls(x, pa.int64())
+        return pa.table({"run": pa.concat_arrays([none(k), pa.array(runs, pa.int64())]), "a": pa.concat_arrays([pa.array(ends[0]), none(m)]), "b": pa.concat_arrays([pa.array(ends[1]), none(m)])})
+
+    key = F.xxhash64("run", F.col("cell.i"), F.col("cell.j"))
+    flat = rows.select(key.alias("cell"), F.col("cell.left").alias("left"), "run", "fp", "label", "n", "bitmap")
+    return flat.groupBy(F.pmod("cell", F.lit(tasks)).alias("task")).applyInArrow(run, "run long, a long, b long").distinct()
 
 
 def linked(found: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkParameters) -> DataFrame:
@@ -313,18 +351,19 @@ def linked(found: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkPara
             tested, old = stored(tested.select("a", "b").union(more.select("a", "b"))), tested
             found_now = stored(verified(more, material, tokens_of, p))
             dropped(old, more)
-            joined = not found_now.isEmpty()
-            if joined:
+            if not found_now.isEmpty():
                 edges = stored(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found_now))
                 labels = connected(edges)
                 dropped(edges)
             dropped(found_now)
             freed(spark)
-        offered = stored(across(holders, material, labels, offers, p))
-        held = not offered.where("a IS NULL").isEmpty()
-        fresh = offered.where("a IS NOT NULL").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = stored(fresh.join(material.select(F.col("fp").alias("b"), "n"), "b").select("a", "b", "n"))
-        dropped(offered)
-        if more.isEmpty() and not held:
+        if holders is None:
             return labels
+        fresh = stored(across(holders, material, labels, offers, p))
+        # only runs that held something back can offer more: what the others have is in ``fresh``, or tested
+        runs_left = stored(holders.join(fresh.where("run IS NOT NULL").select("run"), "run", "left_semi"))
+        untested = fresh.where("run IS NULL").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = stored(untested.join(material.select(F.col("fp").alias("b"), "n"), "b").select("a", "b", "n"))
+        dropped(fresh)
+        holders = None if runs_left.isEmpty() else runs_left
         offers *= p.growth

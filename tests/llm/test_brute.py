@@ -354,3 +354,22 @@ def test_personal_data_equals_patterns(spark):
         assert {k: got[i][f"n_{k}"] for k in PATTERNS} == {k: kinds[k] for k in PATTERNS}
         assert set(want.split(",")) - {""} <= set(got[i].spans.split(","))
     assert any("ssn" in r.spans for r in got.values())
+
+
+def test_offers_are_the_closest_pairs():
+    rng = np.random.default_rng(4)
+    size = 120
+    cell, left = rng.integers(0, 5, size), rng.random(size) < 0.5
+    fp, label, n = rng.permutation(size).astype(np.int64), rng.integers(0, 6, size), rng.integers(40, 60, size)
+    bits = rng.integers(0, 1 << 63, (size, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (size, 2), dtype=np.uint64) & np.uint64(0xFFFF)
+    allowed = {}
+    for x in np.flatnonzero(left):
+        for y in np.flatnonzero(~left & (cell == cell[x]) & (label != label[x])):
+            gap = int(np.bitwise_count(bits[x] ^ bits[y]).sum())
+            if min(n[x], n[y]) * 100 >= 75 * max(n[x], n[y]) and gap * 175 <= 25 * (n[x] + n[y]):
+                allowed.setdefault((cell[x], label[x]), set()).add((gap / (n[x] + n[y]), min(fp[x], fp[y]), max(fp[x], fp[y])))
+    for offers in (1, 3, 10_000):
+        for most in (7, 1 << 18):
+            a, b, back = linking.offered(cell, left, fp, label, n, bits, offers, 75, most)
+            assert set(zip(a.tolist(), b.tolist(), strict=True)) == {q[1:] for x in allowed.values() for q in sorted(x)[:offers]}
+            assert set(back.tolist()) == {c for (c, _), x in allowed.items() if len(x) > offers}
