@@ -63,57 +63,65 @@ def bands(percent: int, most: int = 1 << 40) -> list[int]:
 
 
 class Signer:
-    """Signatures of one set."""
+    """Signatures of sets."""
 
     def __init__(self, p: JoinParameters, frequent: tuple[np.ndarray, np.ndarray] | None = None):
         self.p, self.ends = p, np.array(bands(p.percent), np.int64)
         self.tokens, self.counts = frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def most_different(self, x: int, y: int) -> int:
+    def most_different(self, x, y):
         return (100 - self.p.percent) * (x + y) // (100 + self.p.percent)
 
-    def spaces(self, n: int) -> list[tuple[int, int]]:
-        """(band, largest difference from a partner there) for a set of n tokens."""
-        t, b = self.p.percent, int(np.searchsorted(self.ends, n))
-        out = [(b, self.most_different(n, n * 100 // t))]
-        if b and 100 * int(self.ends[b - 1]) >= t * n:
-            out.append((b - 1, self.most_different(n, int(self.ends[b - 1]))))
-        return out
-
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        out, heat = [], None
-        if len(self.tokens) and len(tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            heat = np.where(self.tokens[at] == tokens, self.counts[at], 0)
-            heat = heat if heat.any() else None
-        for band, most in self.spaces(len(tokens)):
-            top = int(self.ends[band])
-            salted = mix(tokens ^ _U((band + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            tag = _U(band * 0xD6E8FEB86659FD93 & (2**64 - 1))
-            if top <= self.p.small:
-                out.append(self._neighbourhoods(salted, top, tag))
-                continue
-            m = int(np.ceil(self.p.segments * top)) + 8
-            seg = (salted >> _U(33)).astype(np.int64) % m
-            order = np.argsort(seg, kind="stable")
-            seg = seg[order]
-            first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(set, signature) of all the signatures of some sets, all sets at once."""
+        t, size = self.p.percent, np.fromiter(map(len, sets), np.int64, len(sets))
+        band = np.searchsorted(self.ends, size)
+        below = self.ends[np.maximum(band - 1, 0)]
+        down = np.flatnonzero((size > 0) & (band > 0) & (100 * below >= t * size))
+        own = np.flatnonzero(size > 0)
+        parts = [self._space(sets, own, band[own], self.most_different(size[own], size[own] * 100 // t)), self._space(sets, down, band[down] - 1, self.most_different(size[down], below[down]))]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _space(self, sets: list[np.ndarray], who: np.ndarray, band: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the sets ``who`` among those of a band each, whose partners there differ in so many tokens at most."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        salt, tag = (band + 1).astype(np.uint64) * _U(0x9E3779B97F4A7C15), band.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+        top = self.ends[band]
+        for i in np.flatnonzero(top <= self.p.small):
+            sig = self._neighbourhoods(mix(sets[who[i]] ^ salt[i]), int(top[i]), tag[i])
+            out.append((np.full(len(sig), who[i]), sig))
+        large = top > self.p.small
+        who, salt, tag, top, need = who[large], salt[large], tag[large], top[large], most[large] + 1
+        if len(who):
+            tokens = np.concatenate([sets[i] for i in who])
+            own = np.repeat(np.arange(len(who)), [len(sets[i]) for i in who])
+            m = np.ceil(self.p.segments * top).astype(np.int64) + 8
+            salted = mix(tokens ^ salt[own])
+            seg = (salted >> _U(33)).astype(np.int64) % m[own]
+            order = np.argsort((own << 32) | seg, kind="stable")
+            own, seg = own[order], seg[order]
+            first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (seg[1:] != seg[:-1]))))
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(mix(salted[order]), first)
-                sig = mix(sums + tag + (seg[first] + 1).astype(np.uint64) * _U(0xA0761D6478BD642F))
-            need = most + 1
-            if need < len(sig):
-                if heat is None:
-                    sig = np.partition(sig, need - 1)[:need]
-                else:  # a segment is as frequent as its rarest token at most
-                    cost = np.minimum.reduceat(heat[order], first)
-                    sig = sig[np.lexsort((sig, cost))[:need]]
-            elif need > len(sig):  # too few segments hold a token: empty ones agree as well
-                empty = np.setdiff1d(np.arange(m), seg[first])[: need - len(sig)] if need >= m else np.setdiff1d(np.arange(m), seg[first])
+                own, seg = own[first], seg[first]
+                sig = mix(sums + tag[own] + (seg + 1).astype(np.uint64) * _U(0xA0761D6478BD642F))
+            cost = np.zeros(len(sig), np.int64)
+            if len(self.tokens):  # a segment is as frequent as its rarest token at most
+                at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+                cost = np.minimum.reduceat(np.where(self.tokens[at] == tokens, self.counts[at], 0)[order], first)
+            order = np.lexsort((sig, cost, own))
+            start = np.searchsorted(own, np.arange(len(who) + 1))
+            rank = np.arange(len(own)) - start[own]
+            keep = order[rank < need[own]]
+            out.append((who[own[keep]], sig[keep]))
+            # where too few segments hold a token, empty ones agree as well
+            for i in np.flatnonzero(need > np.diff(start)):
+                empty = np.setdiff1d(np.arange(m[i]), seg[start[i] : start[i + 1]])
+                if need[i] >= m[i]:
+                    empty = empty[: need[i] - (start[i + 1] - start[i])]
                 with np.errstate(over="ignore"):
-                    sig = np.concatenate((sig, mix(tag + (empty + 1).astype(np.uint64) * _U(0xE7037ED1A0B428DB))))
-            out.append(sig)
-        return np.unique(np.concatenate(out))
+                    out.append((np.full(len(empty), who[i]), mix(tag[i] + (empty + 1).astype(np.uint64) * _U(0xE7037ED1A0B428DB))))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _neighbourhoods(self, salted: np.ndarray, top: int, tag: _U) -> np.ndarray:
         """Each segment and each segment without one token; one of m segments differs by at most one token."""
@@ -171,19 +179,18 @@ def sets(docs: DataFrame, p: JoinParameters) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, every: int, p: JoinParameters, what) -> DataFrame:
-    """(s): ``what`` gives a value or more for each set of the sampled documents."""
+    """(s): what ``what`` gives for the sets of the sampled documents."""
     picked = keyed(docs).where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            found = [what(x) for x in shingles(raw_texts(b.column("text")), p.words) if len(x)]
-            yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"s": pa.array(what(shingles(raw_texts(b.column("text")), p.words)).view(np.int64))})
 
     return picked.mapInArrow(run, "s long")
 
 
 def frequent_tokens(docs: DataFrame, every: int, p: JoinParameters) -> tuple[np.ndarray, np.ndarray]:
-    got = _sampled(docs, every, p, lambda x: x).groupBy("s").count().where("count >= 4").orderBy(F.desc("count"), "s").limit(p.frequent).collect()
+    got = _sampled(docs, every, p, np.concatenate).groupBy("s").count().where("count >= 4").orderBy(F.desc("count"), "s").limit(p.frequent).collect()
     tokens = np.array([r["s"] for r in got], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.array([r["count"] for r in got], np.int64)[order]
@@ -197,13 +204,16 @@ def signatures(docs: DataFrame, p: JoinParameters, buckets: int, frequent: tuple
         frequent, hot = sent.value
         signer, seen, sig, fps, held = Signer(p, frequent), set(), [], [], 0
         for b in text_slices(batches):
+            fresh: dict[int, np.ndarray] = {}
             for x in shingles(raw_texts(b.column("text")), p.words):
                 if len(x) and (f := fingerprint(x)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(f)
-                    sig.append(signer.signatures(x))
-                    fps.append(f)
-                    held += len(sig[-1])
+                    fresh[f] = x
+            own, s = signer.signatures(list(fresh.values()))
+            sig.append(s)
+            fps.append(np.array(list(fresh), np.int64)[own])
+            held += len(s)
             if held > 3_000_000:
                 yield linking.pack(sig, fps, buckets, hot)
                 sig, fps, held = [], [], 0
@@ -236,7 +246,7 @@ def links(docs: DataFrame, p: JoinParameters = JoinParameters()) -> tuple[DataFr
     one_in = max(1, docs_in // p.sample_docs)
     frequent = frequent_tokens(docs, one_in, p)
     signer = Signer(p, frequent)
-    hot = linking.hot(_sampled(docs, one_in, p, signer.signatures), one_in, p.link) if docs_in > p.link.shard_holders else linking.NO_HOT
+    hot = linking.hot(_sampled(docs, one_in, p, lambda x: signer.signatures(x)[1]), one_in, p.link) if docs_in > p.link.shard_holders else linking.NO_HOT
     buckets = int(max(width(spark), 2 * tokens // (3 * p.link.task_signatures) + 1))
     found = stored(linking.runs(signatures(docs, p, buckets, frequent, hot), hot))
     freed(spark)

@@ -81,10 +81,9 @@ def hot(sampled: DataFrame, every: int, p: LinkParameters) -> Hot:
     return Hot(np.array([r["s"] for r in got], np.int64).view(np.uint64)[shards > 1], shards[shards > 1])
 
 
-def pack(sig: list[np.ndarray], fps: list[int], buckets: int, hot: Hot) -> pa.RecordBatch:
-    """One row for each bucket: the fingerprints, then the signatures."""
-    n = [len(x) for x in sig]
-    s, f = np.concatenate(sig), np.repeat(np.array(fps, np.int64), n)
+def pack(sig: list[np.ndarray], fps: list[np.ndarray], buckets: int, hot: Hot) -> pa.RecordBatch:
+    """One row for each bucket: the fingerprints, then the signatures; ``sig`` and ``fps`` run in parallel."""
+    s, f = np.concatenate(sig), np.concatenate(fps)
     home = (s >> _U(40)) % _U(buckets)
     shards = hot.of(s)
     many = np.flatnonzero(shards > 1)
