@@ -373,3 +373,22 @@ def test_offers_are_the_closest_pairs():
             a, b, back = linking.offered(cell, left, fp, label, n, bits, offers, 75, most)
             assert set(zip(a.tolist(), b.tolist(), strict=True)) == {q[1:] for x in allowed.values() for q in sorted(x)[:offers]}
             assert set(back.tolist()) == {c for (c, _), x in allowed.items() if len(x) > offers}
+
+
+def test_pieces_of_many_texts():
+    import public_tokenizers
+
+    code, rng = pieces.Coder(public_tokenizers.path("piece_bpe_32k.model")), random.Random(13)
+    raw = ["".join(rng.choice("aé ▁\n\t<s>🙂日 thetionß\u0000①  ") for _ in range(rng.choice((0, 1, 2, 30, 900)))) for _ in range(120)]
+    code.MOST_BYTES = 5_000  # all is forgotten again and again
+    for _ in range(3):
+        ids, cut = code.encode_many(raw)
+        own = [ids[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)]
+        assert own == code.library.encode(raw)
+        assert code.decimals(ids, cut) == [",".join(map(str, x)).encode() for x in own]
+        assert code.decode_many(ids, cut) == code.library.decode(own)
+    same = [x for x in ("a", "é日", "①ß") for _ in range(3)]
+    for size in (1, 2):
+        words = [x for x in same if len(x) == size]
+        ids, counts = code.merge_many(words)
+        assert [ids[i:j].tolist() for i, j in zip(np.cumsum(counts) - counts, np.cumsum(counts), strict=True)] == [code.merge(x) for x in words]
