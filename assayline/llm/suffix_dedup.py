@@ -54,6 +54,11 @@ class Hashes:
         with np.errstate(over="ignore"):
             self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * up[: len(buf)], dtype=np.uint64)))
 
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of substrings that are only compared with others of the same length."""
+        with np.errstate(over="ignore"):
+            return (self.total[end] - self.total[start]) * self.down[start]
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -100,7 +105,9 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     direct = np.empty(len(at), np.int64)
     for i, j in zip(cut, cut[1:], strict=False):
         if j - i > 1:
-            direct[i:j] = sorted(at[i:j].tolist(), key=lambda x: text[x : x + depth])
+            mine = at[i:j].tolist()
+            heads = [text[x : x + depth] for x in mine]
+            direct[i:j] = at[i:j][sorted(range(j - i), key=heads.__getitem__)]
         else:
             direct[i:j] = at[i:j]
     ends = np.searchsorted(t[direct], np.arange(257))
@@ -136,24 +143,30 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, counted up to ``most``; compares eight bytes at a time."""
-    wide = np.concatenate((t, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.as_strided(wide, (len(t), 8), (1, 1)).copy().view(np.uint64).ravel()
-    out, alive = np.zeros(len(a), np.int64), np.arange(len(a))
-    for d in range(0, most, 8):
-        x, y = a[alive] + d, b[alive] + d
-        inside = np.maximum(x, y) < len(t)
-        differ = np.ones(len(alive), bool)
-        differ[inside] = words[x[inside]] != words[y[inside]]
-        stop = alive[differ]
-        s, e = a[stop] + d, b[stop] + d
-        for k in range(8):  # the bytes before the first difference
-            go = (np.maximum(s, e) + k < len(t)) & (out[stop] == d + k)
-            go[go] = t[s[go] + k] == t[e[go] + k]
-            out[stop[go]] += 1
-        alive = alive[~differ]
-        out[alive] = d + 8
-    return np.minimum(out, most)
+    """Length of the common prefix of suffixes a and b, counted up to ``most``: by hashes of halving lengths, and bytes at last."""
+    h, room = Hashes(t), np.minimum(len(t) - np.maximum(a, b), most)
+    out = np.zeros(len(a), np.int64)
+    size = 1 << max(3, int(most).bit_length() - 1)
+    while size >= 8:
+        # whole steps of this size that both suffixes have room for
+        for _ in range(1 if size < 1 << (int(most).bit_length() - 1) else max(1, most // size)):
+            go = np.flatnonzero(out + size <= room)
+            x, y = a[go] + out[go], b[go] + out[go]
+            go = go[h.raw(x, x + size) == h.raw(y, y + size)]
+            out[go] += size
+        size >>= 1
+    for _ in range(8):
+        go = np.flatnonzero(out < room)
+        go = go[t[a[go] + out[go]] == t[b[go] + out[go]]]
+        out[go] += 1
+    return out
+
+
+def reaches(t: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
+    """Whether neighbours in a suffix array, all of ``window`` bytes at least, have a common prefix of that length."""
+    at = np.arange(len(t) - window + 1)
+    head = Hashes(t).raw(at, at + window)[sa] if len(sa) else np.zeros(0, np.uint64)
+    return head[:-1] == head[1:]
 
 
 def repeated(texts: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
@@ -163,7 +176,7 @@ def repeated(texts: list[bytes], counts: list[int], window: int) -> list[np.ndar
     starts = np.concatenate(([0], np.cumsum(sizes)))
     sa = suffix_array(t, window)
     sa = sa[sa <= len(t) - window]
-    near = common_prefix(t, sa[:-1], sa[1:], window) >= window
+    near = reaches(t, sa, window)
     group = np.concatenate(([0], np.cumsum(~near)))
     owner = np.searchsorted(starts, sa, side="right") - 1
     inside = sa + window <= starts[owner + 1]
