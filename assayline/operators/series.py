@@ -244,12 +244,16 @@ def heatmap(s: DataFrame) -> DataFrame:
 
 
 def heatmap_labels(cells: DataFrame, columns: int = 24) -> DataFrame:
-    """With more days than ``columns``: of each row only its highest high and its lowest low are written."""
+    """Which cells of a patient's map are written: those out of range; with more days on the map than ``columns``, of each
+    row only its highest high and its lowest low (of equal ones the first day's)."""
+    days = cells.groupBy("patient_id").agg(F.count_distinct("day").alias("__days"))
     by = Window.partitionBy(*KEY)
-    out = cells.withColumn("__days", F.count(F.lit(1)).over(by))
-    top = F.max(F.when(F.col("position") > 0, F.col("value_num"))).over(by)
-    low = F.min(F.when(F.col("position") < 0, F.col("value_num"))).over(by)
-    return out.withColumn("written", (F.col("__days") <= columns) | ((F.col("position") > 0) & (F.col("value_num") == top)) | ((F.col("position") < 0) & (F.col("value_num") == low))).drop("__days")
+    high = F.max(F.when(F.col("position") > 0, F.struct("value_num", (-F.unix_date(F.col("day").cast("date"))).alias("d")))).over(by)
+    low = F.min(F.when(F.col("position") < 0, F.struct("value_num", F.unix_date(F.col("day").cast("date")).alias("d")))).over(by)
+    out = cells.withColumn("__high", high).withColumn("__low", low).join(days, "patient_id")
+    d = F.unix_date(F.col("day").cast("date"))
+    best = ((F.col("position") > 0) & (d == -F.col("__high.d"))) | ((F.col("position") < 0) & (d == F.col("__low.d")))
+    return out.withColumn("written", F.coalesce((F.col("position") != 0) & ((F.col("__days") <= columns) | best), F.lit(False))).drop("__days", "__high", "__low")
 
 
 def labs_in_order(s: DataFrame) -> DataFrame:

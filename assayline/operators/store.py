@@ -56,12 +56,14 @@ def orphan_reports(reports: DataFrame, results: DataFrame, files: DataFrame) ->
 
 
 def stats(tables: Tables) -> DataFrame:
-    """Counts and the span of dates, one row from one aggregate of each table."""
+    """Counts, files by state and the span of dates, one row from one aggregate of each table."""
     one = lambda name, *a: tables[name].agg(*a)
+    files = [F.count_if(F.col("status") == x).alias(f"files_{x}") for x in ("ok", "review", "error")]
     return (
         one("patients", F.count("*").alias("patients"))
-        .join(one("reports", F.count("*").alias("reports"), F.count_distinct("lab").alias("labs"), F.min(F.coalesce("request_date", "validation_date")).alias("first"), F.max(F.coalesce("validation_date", "request_date")).alias("last")), how="cross")
-        .join(one("results", F.count("*").alias("results"), F.count("value_num").alias("numeric"), F.count_distinct("canonical_id").alias("tests")), how="cross")
+        .join(one("reports", F.count("*").alias("reports"), F.min(F.coalesce("request_date", "validation_date")).alias("first"), F.max(F.coalesce("validation_date", "request_date")).alias("last")), how="cross")
+        .join(one("results", F.count("*").alias("results"), F.count_if(F.col("flag_calc").isin("alto", "bajo")).alias("out_of_range")), how="cross")
+        .join(one("processed_files", *files), how="cross")
     )
 
 
@@ -73,14 +75,25 @@ def co_occurring(results: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return a.join(b, (F.col("a.report_id") == F.col("b.report_id")) & (F.col("a.canonical_id") < F.col("b.canonical_id"))).groupBy(F.col("a.canonical_id").alias("a"), F.col("b.canonical_id").alias("b")).agg(F.count("*").alias("reports"))
 
 
-def merge_check(results: DataFrame) -> DataFrame:
-    """Pairs that may not merge (they share a report and their codes are not the same non-empty set), and warnings."""
-    facts = results.groupBy("canonical_id").agg(F.array_sort(F.collect_set("loinc_code")).alias("codes"), F.collect_set("unit").alias("units"))
+def merge_check(results: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Every pair of the ids asked for (``canonical_id``; all that there are, if none are given), ids in order.
+
+    ``blocked``: the pair shares reports and its codes are not the same non-empty set. Warnings hold for pairs that share no
+    report as well: both have codes and none in common; both have units, of another size or dimension. The pairs of what is
+    asked are the result, so ask for the groups that may merge.
+    """
+    own = lambda c: F.collect_set(F.nullif(c, F.lit("")))
+    facts = results.groupBy("canonical_id").agg(F.array_sort(own("loinc_code")).alias("codes"), own("unit").alias("units"))
+    if asked is not None:
+        facts = asked.select("canonical_id").distinct().join(facts, "canonical_id", "left").select("canonical_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("codes", "units")])
     a, b = (facts.select(*[F.col(c).alias(f"{c}_{k}") for c in facts.columns]) for k in "ab")
-    p = co_occurring(results).withColumnsRenamed({"a": "canonical_id_a", "b": "canonical_id_b"}).join(a, "canonical_id_a").join(b, "canonical_id_b")
-    same = (F.size("codes_a") > 0) & (F.size("codes_b") > 0) & (F.col("codes_a") == F.col("codes_b"))
-    disjoint = (F.size("codes_a") > 0) & (F.size("codes_b") > 0) & ~F.arrays_overlap("codes_a", "codes_b")
-    return p.select("canonical_id_a", "canonical_id_b", "reports", (~same).alias("blocked"), disjoint.alias("warn_codes"), units.relation(F.col("units_a"), F.col("units_b")).alias("unit_relation"))
+    shared = co_occurring(results if asked is None else results.join(asked.select("canonical_id").distinct(), "canonical_id", "left_semi"))
+    p = a.join(b, F.col("canonical_id_a") < F.col("canonical_id_b")).join(shared.withColumnsRenamed({"a": "canonical_id_a", "b": "canonical_id_b"}), ["canonical_id_a", "canonical_id_b"], "left")
+    coded = (F.size("codes_a") > 0) & (F.size("codes_b") > 0)
+    relation = units.relation(F.col("units_a"), F.col("units_b"))
+    warn_units = (F.size("units_a") > 0) & (F.size("units_b") > 0) & relation.isin("convertible", "incompatible")
+    blocked = F.col("reports").isNotNull() & ~((F.size("codes_a") > 0) & (F.col("codes_a") == F.col("codes_b")))
+    return p.select("canonical_id_a", "canonical_id_b", F.coalesce("reports", F.lit(0)).alias("reports"), blocked.alias("blocked"), (coded & ~F.arrays_overlap("codes_a", "codes_b")).alias("warn_codes"), warn_units.alias("warn_units"))
 
 
 def ever_altered(s: DataFrame) -> DataFrame:
@@ -173,7 +186,7 @@ def clear_import(tables: Tables, filename: str) -> Tables:
 def merge_patients(tables: Tables, mapping: DataFrame) -> Tables:
     """``mapping`` (source, target): reports move; one whose number the target has goes with its results; the target's
     blanks are filled; targets and readings move, the destination's own win."""
-    m = F.broadcast(mapping.select(F.col("source").alias("__source"), F.col("target").alias("__target")))
+    m = mapping.select(F.col("source").alias("__source"), F.col("target").alias("__target"))
     to = lambda df: df.join(m, df.patient_id == F.col("__source"), "left").withColumn("__moved", F.col("__target").isNotNull().cast("int")).withColumn("patient_id", F.coalesce("__target", "patient_id")).drop("__source", "__target")
     moved = to(tables["reports"])
     number = F.when(F.coalesce("report_number", F.lit("")) != "", F.col("report_number")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
@@ -192,7 +205,7 @@ def merge_patients(tables: Tables, mapping: DataFrame) -> Tables:
 def merge_canonical(results: DataFrame, targets: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``mapping`` (source, target): results and targets are renamed (the destination's target wins), and every raw name
     of a source becomes an alias (alias, canonical_id) of its target."""
-    m = F.broadcast(mapping)
+    m = mapping
     renamed = lambda df: df.join(m, df.canonical_id == F.col("source"), "left")
     res = renamed(results)
     more = res.where("target IS NOT NULL").select(text.normalize_test_name(F.col("raw_name")).alias("alias"), F.col("target").alias("canonical_id")).where("alias <> ''").distinct()

@@ -254,11 +254,15 @@ def heatmap_cells(spark: SparkSession, sf: str) -> DataFrame:
     return S.heatmap(events_panel(spark, sf)).select(*K, "day", "value_num", *r6("position"))
 
 
-@query(_HEAT + """, w AS (SELECT *, count(*) OVER k AS n, max(value_num) FILTER (position > 0) OVER k AS top, min(value_num) FILTER (position < 0) OVER k AS low FROM q WINDOW k AS (PARTITION BY patient_id, canonical_id))
-SELECT patient_id, canonical_id, day, coalesce(n <= 8 OR (position > 0 AND value_num = top) OR (position < 0 AND value_num = low), false) AS written FROM w""")
+@query(_HEAT + """, n AS (SELECT patient_id, count(DISTINCT day) AS days FROM q GROUP BY 1),
+hi AS (SELECT patient_id, canonical_id, day, row_number() OVER (PARTITION BY patient_id, canonical_id ORDER BY value_num DESC, day) AS k FROM q WHERE position > 0),
+lo AS (SELECT patient_id, canonical_id, day, row_number() OVER (PARTITION BY patient_id, canonical_id ORDER BY value_num, day) AS k FROM q WHERE position < 0),
+best AS (SELECT patient_id, canonical_id, day FROM hi WHERE k = 1 UNION SELECT patient_id, canonical_id, day FROM lo WHERE k = 1)
+SELECT q.patient_id, q.canonical_id, q.day, coalesce(position <> 0 AND (days <= 8 OR best.day IS NOT NULL), false) AS written
+FROM q JOIN n ON n.patient_id = q.patient_id LEFT JOIN best ON best.patient_id = q.patient_id AND best.canonical_id = q.canonical_id AND best.day = q.day""")
 def heatmap_labels(spark: SparkSession, sf: str) -> DataFrame:
     """G23, with eight columns."""
-    return S.heatmap_labels(S.heatmap(events_panel(spark, sf)), 8).select(*K, "day", F.coalesce("written", F.lit(False)).alias("written"))
+    return S.heatmap_labels(S.heatmap(events_panel(spark, sf)), 8).select(*K, "day", "written")
 
 
 @query(f"WITH {TOTAL}, f AS (SELECT patient_id, coalesce(lab, '') AS lab, min(ord) AS o FROM s GROUP BY ALL) SELECT patient_id, lab, row_number() OVER (PARTITION BY patient_id ORDER BY o) AS place FROM f")

@@ -55,11 +55,13 @@ def cooccurrence_block(spark: SparkSession, sf: str) -> DataFrame:
     return store.co_occurring(_lines(spark, sf))
 
 
-@query(f"""WITH {_LINES}, d AS (SELECT DISTINCT report_id, canonical_id FROM r), p AS (SELECT a.canonical_id AS canonical_id_a, b.canonical_id AS canonical_id_b, count(*) AS reports FROM d a JOIN d b ON a.report_id = b.report_id AND a.canonical_id < b.canonical_id GROUP BY ALL),
-c AS (SELECT canonical_id, max(loinc_code) AS code FROM r GROUP BY 1) SELECT canonical_id_a, canonical_id_b, reports, NOT coalesce(x.code = y.code, false) AS blocked, coalesce(x.code <> y.code, false) AS warn_codes FROM p JOIN c x ON x.canonical_id = canonical_id_a JOIN c y ON y.canonical_id = canonical_id_b""")
+@query(f"""WITH {_LINES}, d AS (SELECT DISTINCT report_id, canonical_id FROM r), p AS (SELECT a.canonical_id AS a, b.canonical_id AS b, count(*) AS reports FROM d a JOIN d b ON a.report_id = b.report_id AND a.canonical_id < b.canonical_id GROUP BY ALL),
+c AS (SELECT canonical_id, max(loinc_code) AS code, min(unit) AS lo, max(unit) AS hi FROM r GROUP BY 1)
+SELECT x.canonical_id AS canonical_id_a, y.canonical_id AS canonical_id_b, coalesce(reports, 0) AS reports, reports IS NOT NULL AND NOT coalesce(x.code = y.code, false) AS blocked, coalesce(x.code <> y.code, false) AS warn_codes, (x.lo <> y.lo OR x.hi <> y.hi) AS warn_units
+FROM c x JOIN c y ON x.canonical_id < y.canonical_id LEFT JOIN p ON p.a = x.canonical_id AND p.b = y.canonical_id""")
 def merge_check(spark: SparkSession, sf: str) -> DataFrame:
-    """F9."""
-    return store.merge_check(_lines(spark, sf)).drop("unit_relation")
+    """every pair of ids; mg/dL and g/L are convertible."""
+    return store.merge_check(_lines(spark, sf))
 
 
 @query("SELECT p_partkey, replace(replace(lower(replace(p_type, ' ', '')), '_', ''), 'µ', 'mc') AS unit_key FROM part")
@@ -89,30 +91,33 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "lineitem").where("l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("report_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("sample_date"), F.col("l_quantity").alias("value_num"), F.concat(F.lit("t"), F.col("l_partkey") % 37).alias("canonical_id"))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.when(F.col("l_quantity") < 5, "bajo").when(F.col("l_quantity") > 45, "alto").otherwise("normal").alias("flag_calc"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("sample_date"), F.col("l_quantity").alias("value_num"), F.concat(F.lit("t"), F.col("l_partkey") % 37).alias("canonical_id"))
 
 
-@query("""WITH n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)
+@query("""WITH n AS (SELECT l_orderkey + (l_orderkey % 7 = 0)::INT AS id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, o_custkey AS patient_id, coalesce(n, 0) AS num_results, (o_orderkey % 5 = 0) AS missing FROM orders LEFT JOIN n ON id = o_orderkey WHERE coalesce(n, 0) = 0 OR o_orderkey % 5 = 0""")
 def orphan_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """F6, D5j."""
-    rep = _reports(spark, sf)
-    return store.orphan_reports(rep, _results(spark, sf), rep.where("id % 5 <> 0").select(F.col("source_file").alias("filename")))
+    """F6, D5j: the results of every seventh report are moved to the next one."""
+    rep, k = _reports(spark, sf), F.col("report_id")
+    moved = _results(spark, sf).withColumn("report_id", k + F.when(k % 7 == 0, 1).otherwise(0))
+    return store.orphan_reports(rep, moved, rep.where("id % 5 <> 0").select(F.col("source_file").alias("filename")))
 
 
-@query("""WITH n AS (SELECT l_orderkey AS id, count(*) AS n, min(strftime(l_shipdate, '%Y-%m-%d')) AS m FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)
+@query("""WITH n AS (SELECT l_orderkey AS id, count(*) AS n, min(strftime(l_shipdate, '%Y-%m-%d')) AS m FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, o_custkey AS patient_id, coalesce(m, strftime(o_orderdate, '%Y-%m-%d')) AS fecha, coalesce(n, 0) AS num_results FROM orders LEFT JOIN n ON id = o_orderkey""")
 def patient_reports(spark: SparkSession, sf: str) -> DataFrame:
     """F5, D4j."""
     return store.patient_reports(_reports(spark, sf), _results(spark, sf))
 
 
-@query("""SELECT (SELECT count(*) FROM customer) AS patients, count(*) AS reports, count(DISTINCT o_orderstatus) AS labs, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last,
-(SELECT count(*) FROM lineitem WHERE l_orderkey % 7 <> 0) AS results, (SELECT count(DISTINCT l_partkey % 37) FROM lineitem WHERE l_orderkey % 7 <> 0) AS tests FROM orders""")
+@query("""SELECT (SELECT count(*) FROM customer) AS patients, count(*) AS reports, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last,
+(SELECT count(*) FROM lineitem) AS results, (SELECT count(*) FROM lineitem WHERE l_quantity < 5 OR l_quantity > 45) AS out_of_range,
+count(*) FILTER (o_orderstatus = 'F') AS files_ok, count(*) FILTER (o_orderstatus = 'O') AS files_review, count(*) FILTER (o_orderstatus = 'P') AS files_error FROM orders""")
 def store_stats(spark: SparkSession, sf: str) -> DataFrame:
     """F3."""
-    t = {"patients": read(spark, sf, "customer"), "reports": _reports(spark, sf), "results": _results(spark, sf)}
-    return store.stats(t).drop("numeric")
+    state = F.element_at(F.create_map(*[F.lit(x) for x in ("F", "ok", "O", "review", "P", "error")]), F.col("lab"))
+    rep = _reports(spark, sf)
+    return store.stats({"patients": read(spark, sf, "customer"), "reports": rep, "results": _results(spark, sf), "processed_files": rep.select(state.alias("status"))})
 
 
 @query(f"""WITH {BY_PRIORITY}, e AS (SELECT patient_id, canonical_id FROM s GROUP BY ALL HAVING bool_or(coalesce(flag IN ('alto', 'bajo'), false))) SELECT s.patient_id, s.canonical_id, value_num, previous FROM s JOIN e USING (patient_id, canonical_id) WHERE back = 1""")
@@ -274,10 +279,17 @@ def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select("c_custkey", text.normalize_name(raw).alias("name"))
 
 
-@query("SELECT p_partkey, 'hierro' AS x, array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' ') || ['ferro'])), ' ') AS key FROM part")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' ') || CASE p_size % 5 WHEN 0 THEN ['ferro'] WHEN 1 THEN ['ferro', 'orina'] WHEN 2 THEN ['ferro', 'orina'] WHEN 3 THEN ['ferro', '%'] ELSE ['mig', 'plaquetari', 'volum'] END)), ' ') AS key,
+CASE WHEN p_size % 5 = 3 THEN 'hcm,vcm' ELSE '' END AS abbreviations FROM part""")
 def name_signature(spark: SparkSession, sf: str) -> DataFrame:
-    """J21."""
-    return read(spark, sf, "part").select("p_partkey", F.lit("hierro").alias("x"), text.name_signature(F.concat(F.lit("Hierro en suero "), "p_name"))["key"].alias("key"))
+    """Specimen, system, kind of quantity, urine, percentage and translated words."""
+    p = read(spark, sf, "part")
+    name = lambda a, b: F.concat(F.lit(a), "p_name", F.lit(b))
+    k = F.col("p_size") % 5
+    raw = F.when(k == 0, name("Srm-Hierro ", "; c. subst. (mcmol/L)")).when(k == 1, name("Pac (Uri)- Hierro ", ", fr. vol")).when(k == 2, name("Hierro en orina ", " suero 9 U/L")).when(k == 3, name("Hierro % ", " (MCV/MCH, x)")).otherwise(name("Volumen plaquetar medio ", ""))
+    s = text.name_signature(raw)
+    key = F.when(k == 3, F.array_join(F.array_sort(F.filter(F.split(s["key"], " "), lambda w: ~w.isin("vcm", "hcm", "x"))), " ")).otherwise(s["key"])
+    return p.select("p_partkey", key.alias("key"), F.array_join(s["abbreviations"], ",").alias("abbreviations"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 'a_pct' WHEN p_size % 3 = 0 THEN 'a' ELSE replace(lower(p_name), ' ', '_') END AS canonical_id FROM part")
