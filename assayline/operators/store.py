@@ -278,3 +278,38 @@ def resolve_patients(patients: DataFrame, incoming: DataFrame) -> DataFrame:
     group = F.coalesce(keys["dni"](""), keys["cip"](""), keys["nhc"](""), keys["name"](""))
     first = F.min("row").over(Window.partitionBy(F.when(F.col("patient_id").isNull(), group).otherwise(F.col("row").cast("string"))))
     return out.withColumn("founder", F.when(F.col("patient_id").isNull(), first)).select("row", "patient_id", F.coalesce("matched_by", F.when(F.col("founder") == F.col("row"), "new").otherwise("batch")).alias("matched_by"), "founder")
+
+
+# Small reads and settings
+
+
+def raw_names(results: DataFrame) -> DataFrame:
+    """Every test name as it was written, once."""
+    return results.select("raw_name").where("raw_name IS NOT NULL").distinct()
+
+
+def patient_facts(patients: DataFrame, ids: DataFrame) -> DataFrame:
+    """Birth date and sex of the patients asked for."""
+    return patients.join(ids.select("id"), "id", "left_semi").select("id", "birth_date", "sex")
+
+
+def files_to_review(marks: DataFrame) -> DataFrame:
+    """Files whose import wants a look, with ``place`` from the newest on within each day of import."""
+    by = Window.partitionBy(F.substring("processed_at", 1, 10)).orderBy(F.desc("processed_at"), F.desc("id"))
+    return marks.where("status = 'review'").select("id", "filename", "processed_at", F.row_number().over(by).alias("place"))
+
+
+def enough_points(tests: DataFrame, least: int) -> DataFrame:
+    """Marks the tests of a list that have at least so many points."""
+    return tests.withColumn("enough", F.col("num_points") >= least)
+
+
+def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, value), the new value of a key in place of the old one."""
+    return settings.join(new.select("key"), "key", "left_anti").select("key", "value").unionByName(new.select("key", "value"))
+
+
+def heatmap_tests(results: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Tests that make the rows of a heat map: those ever out of range, or the ids asked for, with their points."""
+    listed = canonical_tests(results)
+    return (listed.where("out_of_range = 1") if ids is None else listed.join(ids.select("canonical_id").distinct(), "canonical_id", "left_semi")).select("canonical_id", "num_points")

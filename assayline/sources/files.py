@@ -120,9 +120,23 @@ def column_widths(df: DataFrame, least: int = 10, most: int = 40) -> DataFrame:
     return longest.select(pairs.alias("x")).select("x.*")
 
 
-def pages(df: DataFrame, *order: str | Column, rows: int = 25) -> DataFrame:
-    """Adds page and pages; the order is global, so this is for what a person pages through."""
+def pages(df: DataFrame, *order: str, rows: int = 25, parts: int | None = None) -> DataFrame:
+    """Adds page and pages in a total order by the columns.
+
+    Rows are dealt by ranges of the order, numbered within their range, and moved on by the ranges before, so no task holds
+    more than its range. The sums of the ranges, one row each, are all that is broadcast.
+    """
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("page", F.ceil(n / rows)).withColumn("pages", F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / rows))
+    from ..storage import stored
+
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are cut by a sample, so they are written once and read by both sides
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    a, b = counts.alias("a"), counts.alias("b")
+    before = a.join(b, F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))
+    n = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    out = ranged.join(F.broadcast(before), "__part").join(F.broadcast(total))
+    return out.withColumn("page", F.ceil(n / rows)).withColumn("pages", F.ceil(F.col("__all") / rows)).drop("__part", "__n", "__before", "__all")

@@ -25,13 +25,13 @@ def test_position(spark, v, lo, hi, least, most):
     assert least <= value(spark, ranges.position(c(v), c(lo), c(hi))) <= most
 
 
-@pytest.mark.parametrize(("p", "v", "lo", "hi", "want"), [(0.9, 1.1, 0.5, 1, "empeora"), (200, 244, 150, 400, "igual"), (130, 104, 70, 105, "mejora"), (25, 18, 30, 300, "empeora"), (230, 210, None, 200, "mejora")])
+@pytest.mark.parametrize(("p", "v", "lo", "hi", "want"), [(70, 90, 40, 80, "empeora"), (55, 62, 40, 80, "igual"), (95, 75, 40, 80, "mejora"), (35, 31, 40, 80, "empeora"), (7.5, 6.1, None, 5, "mejora")])
 def test_change_status(spark, p, v, lo, hi, want):
     c = lambda x: L(x).cast("double")
     assert value(spark, ranges.change_status(c(p), c(v), c(lo), c(hi))) == want
 
 
-@pytest.mark.parametrize(("x", "want"), [("1,25", 1.25), ("-3.0", -3.0), ("1.2.3", None), ("1.000", 1000.0), ("1.234,5", 1234.5), ("0.950", 950.0)])
+@pytest.mark.parametrize(("x", "want"), [("7,5", 7.5), ("-12.75", -12.75), ("4.5.6", None), ("32.000", 32000.0), ("5.678,25", 5678.25)])
 def test_numbers(spark, x, want):
     assert value(spark, text.to_number(L(x))) == want
 
@@ -49,7 +49,7 @@ def test_names(spark):
 
 
 def test_cells(spark):
-    assert value(spark, text.defuse_formula(L('=HYPERLINK("x")'))).startswith("'")
+    assert value(spark, text.defuse_formula(L("=SUM(A1:B2)"))).startswith("'")
     assert value(spark, text.defuse_formula(L("-1.5"))) == "-1.5"
     assert value(spark, text.clean_note(L(" a\n\tb "))) == "a b"
     assert value(spark, text.identity_valid(L("00000001R")))
