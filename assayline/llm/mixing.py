@@ -55,6 +55,32 @@ def targets(sizes: list[tuple[str | None, int]], p: MixParameters = MixParameter
     return out
 
 
+#: numpy draws from fewer blocks than this; LARGE is where the inversion below takes over.
+LARGE = 900_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, want: int, large: int = LARGE) -> int:
+    """How many of ``want`` blocks drawn without replacement are good.
+
+    Beyond numpy's range by inversion over the exact masses, from the mode outwards by their ratios; what lies further than
+    twelve standard deviations has less mass than a double resolves.
+    """
+    if good == 0 or bad == 0 or want == 0:
+        return want if bad == 0 else 0
+    total = good + bad
+    if total < large:
+        return int(rng.hypergeometric(good, bad, want))
+    lo, hi = max(0, want - bad), min(good, want)
+    mode = min(hi, max(lo, (want + 1) * (good + 1) // (total + 2)))
+    spread = 12 * (int(np.sqrt(want * (good / total) * (bad / total) * ((total - want) / max(total - 1, 1)))) + 2)
+    up = np.arange(mode, min(hi, mode + spread), dtype=np.float64)
+    down = np.arange(mode, max(lo, mode - spread), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (want - up) / ((up + 1) * (bad - want + up + 1)))
+    below = np.cumprod(down * (bad - want + down) / ((good - down + 1) * (want - down + 1)))
+    mass = np.cumsum(np.concatenate((below[::-1], [1.0], above)))
+    return mode - len(below) + int(np.searchsorted(mass, rng.random() * mass[-1], side="right").clip(0, len(mass) - 1))
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     """Blocks of each source (column) that each shard (row) gets: the leaves of the splitting tree."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -66,17 +92,11 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         mid, total = (lo + hi) // 2, int(left.sum())
         rng = np.random.default_rng([seed, lo, hi])
         want, first = total * (mid - lo) // (hi - lo), np.zeros_like(left)
-        # numpy draws from at most 10**9 blocks; above that, whole strides are split evenly and the draw deals the rest
-        stride = max(1, -(-total // 500_000_000))
         for i, n in enumerate(left):
             rest = int(left[i:].sum())
             if want == 0 or rest == 0:
                 break
-            if stride == 1:
-                k = int(rng.hypergeometric(int(n), rest - int(n), want)) if rest > n else min(want, int(n))
-            else:
-                sd = np.sqrt(want * (n / rest) * (1 - n / rest) * (rest - want) / max(rest - 1, 1))
-                k = int(np.clip(round(rng.normal(want * n / rest, sd)), max(0, want - (rest - int(n))), min(int(n), want)))
+            k = hypergeometric(rng, int(n), rest - int(n), want)
             first[i] = k
             want -= k
         node(first, lo, mid)
@@ -122,7 +142,8 @@ def with_cuts(rows: DataFrame, sums: list, p: MixParameters) -> DataFrame:
 
 
 def mix(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
-    """One row per document: what the mix takes of it, and ``blocks``, its passes with words, shard and local order."""
+    """One row per document: ``blocks``, the passes that shards draw of it with their words, shard and local order, and
+    ``taken``, the words of all of them."""
     rows, sums = ranked(docs, p)
     placed = stored(with_cuts(rows, sums, p))
     quota = placed.groupBy("source").agg(F.sum(F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("blocks")).collect()
@@ -133,7 +154,7 @@ def mix(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
     # the last pass is there only for the documents that the left-over words reach, and counts none without words
     copies = F.filter(copies, lambda x: (x["pass"] < F.col("epochs")) | (F.col("extra") > 0))
     blocks = F.transform(copies, lambda x: F.struct(F.size(F.filter("ends", lambda e: e <= x["at"])).alias("shard"), F.xxhash64(F.lit(p.seed), "doc_id", x["pass"]).alias("place"), x["words"].alias("words")))
-    return placed.alias("p").join(F.broadcast(ends).alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.doc_id", "p.source", "size", "source_size", "target", "taken", blocks.alias("blocks"))
+    return placed.alias("p").join(F.broadcast(ends).alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.doc_id", "p.source", "size", "source_size", "target", blocks.alias("blocks")).withColumn("taken", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["words"]))
 
 
 def mixed_rows(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:

@@ -317,6 +317,17 @@ def TEXTS(df):
     return _texts[id(df)]
 
 
+def test_draws_beyond_the_library():
+    rng = np.random.default_rng(5)
+    for good, bad, want in ((30, 50, 20), (400, 20, 100), (5, 9, 13), (3, 0, 2), (0, 4, 2), (200, 200, 390)):
+        mine = np.array([mixing.hypergeometric(rng, good, bad, want, large=0) for _ in range(4000)])
+        theirs = rng.hypergeometric(good, bad, want, 4000) if good and bad else mine
+        assert mine.min() >= max(0, want - bad) and mine.max() <= min(good, want)
+        assert abs(mine.mean() - theirs.mean()) < 0.25 and abs(mine.std() - theirs.std()) < 0.2
+    leaves = mixing.split_quotas([3 * 10**9, 10**9 + 7, 5], 4, 1)
+    assert leaves.sum(0).tolist() == [3 * 10**9, 10**9 + 7, 5] and leaves.sum(1).max() - leaves.sum(1).min() <= 1
+
+
 def test_splitting_tree():
     leaves = mixing.split_quotas([100, 0, 7, 3000], 16, 1)
     assert leaves.sum(0).tolist() == [100, 0, 7, 3000] and leaves.sum(1).max() - leaves.sum(1).min() <= 1
