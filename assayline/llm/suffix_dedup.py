@@ -142,26 +142,6 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, counted up to ``most``: by hashes of halving lengths, and bytes at last."""
-    h, room = Hashes(t), np.minimum(len(t) - np.maximum(a, b), most)
-    out = np.zeros(len(a), np.int64)
-    size = 1 << max(3, int(most).bit_length() - 1)
-    while size >= 8:
-        # whole steps of this size that both suffixes have room for
-        for _ in range(1 if size < 1 << (int(most).bit_length() - 1) else max(1, most // size)):
-            go = np.flatnonzero(out + size <= room)
-            x, y = a[go] + out[go], b[go] + out[go]
-            go = go[h.raw(x, x + size) == h.raw(y, y + size)]
-            out[go] += size
-        size >>= 1
-    for _ in range(8):
-        go = np.flatnonzero(out < room)
-        go = go[t[a[go] + out[go]] == t[b[go] + out[go]]]
-        out[go] += 1
-    return out
-
-
 def reaches(t: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
     """Whether neighbours in a suffix array, all of ``window`` bytes at least, have a common prefix of that length."""
     at = np.arange(len(t) - window + 1)

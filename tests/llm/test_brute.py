@@ -225,8 +225,6 @@ def test_suffix_array_and_prefixes():
         sa = suffix_dedup.suffix_array(buf, 400)
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
         for most in (5, 8, 60, 64, 400):
-            near = [next((k for k in range(most) if t[i + k : i + k + 1] != t[j + k : j + k + 1] or max(i, j) + k >= len(t)), most) for i, j in zip(sa, sa[1:], strict=False)]
-            assert suffix_dedup.common_prefix(buf, sa[:-1], sa[1:], most).tolist() == near
             long = sa[sa <= len(t) - most]
             assert suffix_dedup.reaches(buf, long, most).tolist() == [t[i : i + most] == t[j : j + most] for i, j in zip(long, long[1:], strict=False)]
 
