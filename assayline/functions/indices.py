@@ -126,6 +126,13 @@ def percent_change(previous: Column, value: Column) -> Column:
     return div(value - previous, previous) * 100
 
 
+def personal_bounds(centre: Column, n: Column, cvi: Column, cva: Column) -> tuple[Column, Column]:
+    """A patient's own range around the mean of n points."""
+    a = effective_cva(cvi, cva)
+    half = Z95 * F.sqrt((n + 1) / n) * F.sqrt(cvi * cvi + a * a)
+    return F.greatest(F.lit(0.0), centre * (1 - half / 100)), centre * (1 + half / 100)
+
+
 def rcv_state(previous: Column, value: Column, lab_previous: Column, lab: Column, cvi: Column, cva: Column) -> Column:
     """Null without variation data or for values that a logarithm can't take; a lab '' is no lab."""
     pct = percent_change(previous, value)

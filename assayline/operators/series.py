@@ -110,17 +110,16 @@ def changes(s: DataFrame, variation: DataFrame, patients: DataFrame | None = Non
     return last.withColumn("pct", indices.percent_change(F.col("previous"), F.col("value_num"))).withColumn("rcv_down", indices.rcv_down(cvi, cva)).withColumn("rcv_up", indices.rcv_up(cvi, cva)).withColumn("state", state)
 
 
-def _steady() -> Column:
+def steady() -> Column:
     return (F.coalesce(F.col("flag"), F.lit(NORMAL)) == NORMAL) & (F.col("ref_low").isNotNull() | F.col("ref_high").isNotNull()) & F.col("value_num").isNotNull()
 
 
 def personal_range(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None, least: int = 3) -> DataFrame:
     """A patient's own range from the in-range points before the last one."""
-    p = with_variation(with_previous(flagged(s)), variation, patients).where(F.col("cvi").isNotNull() & (F.col("back") > 1) & _steady())
+    p = with_variation(with_previous(flagged(s)), variation, patients).where(F.col("cvi").isNotNull() & (F.col("back") > 1) & steady())
     out = p.groupBy(*KEY).agg(F.avg("value_num").alias("centre"), F.count("*").alias("n"), F.count_distinct(F.coalesce("lab", F.lit(""))).alias("labs"), F.max("cvi").alias("cvi"), F.max("cva").alias("cva")).where(F.col("n") >= least)
-    cva = indices.effective_cva(F.col("cvi"), F.col("cva"))
-    half = indices.Z95 * F.sqrt((F.col("n") + 1) / F.col("n")) * F.sqrt(F.col("cvi") * F.col("cvi") + cva * cva)
-    return out.select(*KEY, "n", "labs", "centre", F.greatest(F.lit(0.0), F.col("centre") * (1 - half / 100)).alias("low"), (F.col("centre") * (1 + half / 100)).alias("high"))
+    low, high = indices.personal_bounds(F.col("centre"), F.col("n"), F.col("cvi"), F.col("cva"))
+    return out.select(*KEY, "n", "labs", "centre", low.alias("low"), high.alias("high"))
 
 
 CUSUM_K, CUSUM_H, CUSUM_BASE, CUSUM_LEAST = 0.5, 5.0, 4, 3
@@ -136,7 +135,7 @@ def same_lab_run(s: DataFrame) -> DataFrame:
 def drift(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None) -> DataFrame:
     """Tabular CUSUM over the trailing one-lab run, as running sums less their running minima (no recursion)."""
     p = same_lab_run(with_variation(flagged(s), variation, patients)).where("cvi IS NOT NULL AND value_num > 0")
-    p = p.withColumn("ord", F.row_number().over(in_order())).withColumn("__steady", _steady().cast("int")).withColumn("__k", F.sum("__steady").over(up_to()))
+    p = p.withColumn("ord", F.row_number().over(in_order())).withColumn("__steady", steady().cast("int")).withColumn("__k", F.sum("__steady").over(up_to()))
     base = (F.col("__steady") == 1) & (F.col("__k") <= CUSUM_BASE)
     p = p.withColumn("__base", base).withColumn("centre", F.avg(F.when(F.col("__base"), F.col("value_num"))).over(whole_series())).withColumn("__n", F.sum(F.col("__base").cast("int")).over(whole_series())).withColumn("__end", F.max(F.when(F.col("__base"), F.col("ord"))).over(whole_series()))
     p = p.where((F.col("__n") == CUSUM_BASE) & (F.col("ord") > F.col("__end")))
@@ -155,7 +154,7 @@ def drift(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None)
     return out.select(*KEY, "n", "centre", "s_up", "s_down", way.alias("direction"), F.when(way == UP, F.col("__since_up")).when(way == DOWN, F.col("__since_down")).alias("since"))
 
 
-Z_TREND, CONFIRM_POINTS, CONFIRM_DAYS, STABLE_SHARE = 1.959964, 5, 730, 0.05
+Z_TREND, CONFIRM_POINTS, CONFIRM_DAYS, STABLE_SHARE, PROJECTED = 1.959964, 5, 730, 0.05, 90
 
 
 def trend(s: DataFrame, least: int = 2) -> DataFrame:
@@ -188,7 +187,7 @@ def trend_direction(t: DataFrame) -> DataFrame:
     word = F.when((F.col("n") < CONFIRM_POINTS) | (F.col("days") < CONFIRM_DAYS), "pocos_datos").when((F.col("slope_low") <= 0) & (F.col("slope_high") >= 0), "sin_tendencia").when(F.abs(over) < STABLE_SHARE * F.col("span"), "estable").when(over > 0, "subiendo").otherwise("bajando")
     out = t.withColumn("span", span).withColumn("direction", word).withColumn("yearly_spans", F.col("slope") * 365.25 / F.col("span"))
     decline = (F.col("slope") * 365.25 < -5) & (F.col("slope_high") < 0) & (F.col("direction") == "bajando")
-    return out.withColumn("projected_90", F.col("intercept") + F.col("slope") * (F.col("x1") + 90)).withColumn("rapid_decline", decline)
+    return out.withColumn("projected_90", F.col("intercept") + F.col("slope") * (F.col("x1") + PROJECTED)).withColumn("rapid_decline", decline)
 
 
 MAX_GAP, LEAST_DAYS = 365, 365
