@@ -157,7 +157,7 @@ def drift(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None)
 Z_TREND, CONFIRM_POINTS, CONFIRM_DAYS, STABLE_SHARE, PROJECTED = 1.959964, 5, 730, 0.05, 90
 
 
-def trend(s: DataFrame, least: int = 2) -> DataFrame:
+def trend(s: DataFrame, least: int = 3) -> DataFrame:
     """Theil-Sen slope per day with Sen's interval and intercept, from all pairs of a series' points.
 
     The pairs stay inside one series (some tens of points); slopes are gathered per series as an array.
@@ -174,7 +174,7 @@ def trend(s: DataFrame, least: int = 2) -> DataFrame:
     middle = F.when(size % 2 == 1, at((size + 1) / 2)).otherwise((at(size / 2) + at(size / 2 + 1)) / 2)
     n = F.col("n")
     c = Z_TREND * F.sqrt(n * (n - 1) * (2 * n + 5) / 18.0)
-    lo = F.greatest(F.bround((size - c) / 2, 0).cast("int"), F.lit(0))
+    lo = F.greatest(F.bround((size - c) / 2, 0).cast("int") - 1, F.lit(0))
     hi = F.least(F.bround((size + c) / 2, 0).cast("int"), size - 1)
     out = out.withColumn("slope", middle).withColumn("slope_low", at(lo + 1)).withColumn("slope_high", at(hi + 1))
     return out.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx")).withColumn("days", F.col("x1") - F.col("x0")).drop("slopes")

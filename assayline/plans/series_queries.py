@@ -145,9 +145,9 @@ def same_lab_run(spark: SparkSession, sf: str) -> DataFrame:
 
 _TREND = f"""WITH {TOTAL}, x AS (SELECT patient_id, canonical_id, date_diff('day', DATE '1970-01-01', fecha::DATE) AS x, value_num AS y, ord, back, ref_low, ref_high FROM s),
 p AS (SELECT a.patient_id, list_sort(list((b.y - a.y) / (b.x - a.x))) AS sl FROM x a JOIN x b ON a.patient_id = b.patient_id AND a.x < b.x GROUP BY 1),
-w AS (SELECT patient_id, canonical_id, count(*) AS n, median(x) AS mx, median(y) AS my, max(x) - min(x) AS days, max(x) AS x1, max(y) - min(y) AS spread, arg_max(y, ord) AS last, max(ref_low) FILTER (back = 1) AS ref_low, max(ref_high) FILTER (back = 1) AS ref_high FROM x GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT patient_id, canonical_id, count(*) AS n, median(x) AS mx, median(y) AS my, max(x) - min(x) AS days, max(x) AS x1, max(y) - min(y) AS spread, arg_max(y, ord) AS last, max(ref_low) FILTER (back = 1) AS ref_low, max(ref_high) FILTER (back = 1) AS ref_high FROM x GROUP BY ALL HAVING count(*) >= 3),
 t AS (SELECT w.*, len(sl) AS m, sl, list_aggregate(sl, 'median') AS slope, 1.959964 * sqrt(n * (n - 1) * (2 * n + 5) / 18.0) AS c FROM w JOIN p USING (patient_id)),
-e AS (SELECT *, sl[greatest(round_even((m - c) / 2, 0)::INT, 0) + 1] AS slope_low, sl[least(round_even((m + c) / 2, 0)::INT, m - 1) + 1] AS slope_high, my - slope * mx AS intercept FROM t)"""
+e AS (SELECT *, sl[greatest(round_even((m - c) / 2, 0)::INT - 1, 0) + 1] AS slope_low, sl[least(round_even((m + c) / 2, 0)::INT, m - 1) + 1] AS slope_high, my - slope * mx AS intercept FROM t)"""
 
 
 @query(_TREND + f" SELECT patient_id, canonical_id, n, {rsql('slope', 'slope_low', 'slope_high', 'intercept')} FROM e")

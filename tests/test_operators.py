@@ -1,5 +1,7 @@
+import datetime
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,21 @@ def test_trend_resists_an_outlier(spark):
     assert t.slope_low > 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 14])
+def test_trend_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    points = [(f"{2015 + i // 3}-0{1 + 4 * (i % 3) - (i == 4)}-11", rng.randrange(40, 90)) for i in range(n)]
+    got = S.trend(make(spark, *points)).first()
+    if n < 3:
+        assert got is None
+        return
+    x, y = [datetime.date.fromisoformat(d).toordinal() for d, _ in points], [v for _, v in points]
+    slopes = sorted((y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(i + 1, n) if x[i] != x[j])
+    margin = 1.959964 * math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+    first, last = max(round((len(slopes) - margin) / 2) - 1, 0), min(round((len(slopes) + margin) / 2), len(slopes) - 1)
+    assert (got.slope, got.slope_low, got.slope_high) == pytest.approx((statistics.median(slopes), slopes[first], slopes[last]))
+
+
 def test_time_in_range_gaps(spark):
     r = S.time_in_range(make(spark, ("2020-01-01", 5), ("2020-07-01", 15), ("2020-12-31", 5), low=0.0, high=10.0)).first()
     assert r.percent_in_range == pytest.approx(50, abs=0.5)
