@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, line_dedup, mixing, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup, survivorship, whitening
+from . import jaccard_join, license_scan, line_dedup, mixing, near_dedup, neighbours, personal_data, pieces, quality_classifier, quality_rules, suffix_dedup, survivorship, whitening
 from .common import documents
 
 
@@ -53,6 +53,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(documents(spark, sf_dir))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(documents(spark, sf_dir, "embeddings"))
 
@@ -61,5 +65,5 @@ def op13_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.golden(documents(spark, sf_dir, "clients"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pieces, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join, op12_whitening, op13_golden_records)}
-SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL, "op13_golden_records": survivorship.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pieces, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_neighbours, op7_mixing, op8_license_scan, op9_personal_data, op10_jaccard_join, op11_near_dedup, op12_whitening, op13_golden_records)}
+SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_near_dedup": near_dedup.SQL, "op13_golden_records": survivorship.SQL}
