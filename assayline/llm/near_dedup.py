@@ -49,7 +49,7 @@ class NearParameters:
     seed: int = 11
     #: Documents (hashed choice) in which frequent keys are looked for; they only steer where holders go, never the result.
     sample_docs: int = 4_000
-    link: linking.LinkParameters = field(default_factory=lambda: linking.LinkParameters(percent=80))
+    link: linking.LinkParameters = field(default_factory=lambda: linking.LinkParameters(percent=80, offers=16))
 
     @property
     def tables(self) -> int:
@@ -165,7 +165,8 @@ def material(docs: DataFrame, nodes: DataFrame, found: DataFrame, salt: int, p:
                 n, maps = linking.sketched(bodies, lambda x: shingles(x, p.words), p.link.bits)
                 yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "n": n, "bitmap": maps, "body": pa.array(bodies, pa.binary())})
 
-    return keyed(docs).join(want, "rid").select("fp", "text").mapInArrow(run, "fp long, n long, bitmap binary, body binary").dropDuplicates(["fp"])
+    # texts are dealt by row, however few are wanted, so that the plan is one at every size
+    return keyed(docs).join(want.hint("merge"), "rid").select("fp", "text").mapInArrow(run, "fp long, n long, bitmap binary, body binary").dropDuplicates(["fp"])
 
 
 def _labelled(docs: DataFrame, p: NearParameters) -> DataFrame:
@@ -209,8 +210,8 @@ WITH RECURSIVE w AS (
 ), n AS (SELECT doc_id, coalesce(len(sh), 0) AS n FROM s
 ), t AS (SELECT s.doc_id, n.n, unnest(sh) AS x FROM s JOIN n USING (doc_id)
 ), f AS (  -- a linked pair shares one of the rarest tokens of each set: all but 80 % of it and one more
-  SELECT t.doc_id, t.n, t.x, row_number() OVER (PARTITION BY t.doc_id ORDER BY c.c, t.x) AS at FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) c USING (x)
-), q AS (SELECT doc_id, n, x FROM f WHERE at <= n - ceil(n * 0.8) + 1
+  SELECT t.doc_id, t.n, t.x, row_number() OVER (PARTITION BY t.doc_id ORDER BY c.c, t.x) AS place FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) c USING (x)
+), q AS (SELECT doc_id, n, x FROM f WHERE place <= n - (n * 80 + 99) // 100 + 1
 ), m AS (
   SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM q a JOIN q b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
 ), p AS (
