@@ -233,7 +233,8 @@ def material(docs: DataFrame, nodes: DataFrame, found: DataFrame, repeated: bool
             n, maps = linking.sketched(bodies, lambda x: shingles(x, p.words), p.link.bits)
             yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "n": n, "bitmap": maps, "body": pa.array(bodies, pa.binary())})
 
-    texts = keyed(docs).join(want, "rid").select("fp", "text")
+    # texts are dealt by row, however few are wanted, so that the plan is one at every size
+    texts = keyed(docs).join(want.hint("merge"), "rid").select("fp", "text")
     return (texts.dropDuplicates(["fp"]) if repeated else texts).mapInArrow(run, "fp long, n long, bitmap binary, body binary")
 
 

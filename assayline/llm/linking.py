@@ -309,16 +309,21 @@ def across(holders: DataFrame, material: DataFrame, labels: DataFrame, offers: i
     tasks = int(max(width(holders.sparkSession), work // p.task_holders + 1))
     rows = known.join(split, "run").join(material.select("fp", "n", "bitmap"), "fp")
     mine = lambda k: F.pmod(F.xxhash64("fp"), k).cast("int")
-    cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    # a holder is on the right of one cell in each row of cells and, outside the largest component, on the left of one in
+    # each column; where both are the same cell it goes there once, for both
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("tinyint").alias("role"))
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    cells = F.transform(upto("lefts"), lambda i: cell(i, mine(F.col("rights")), False))
-    first = F.transform(upto("rights"), lambda j: cell(mine(F.col("lefts")), j, True))
-    rows = rows.withColumn("cell", F.explode(F.concat(cells, F.when(F.col("label") != F.col("most"), first).otherwise(F.filter(cells, lambda x: F.lit(False))))))
+    few = F.col("label") != F.col("most")
+    right = F.transform(upto("lefts"), lambda i: cell(i, mine(F.col("rights")), F.when(few & (i == mine(F.col("lefts"))), 2).otherwise(0)))
+    left = F.transform(F.filter(upto("rights"), lambda j: few & (j != mine(F.col("rights")))), lambda j: cell(mine(F.col("lefts")), j, F.lit(1)))
+    rows = rows.withColumn("cell", F.explode(F.concat(right, left)))
 
     def run(table: pa.Table) -> pa.Table:
-        cell, left, fp, label, n = (np.asarray(table.column(c)) for c in ("cell", "left", "fp", "label", "n"))
+        cell, role, fp, label, n = (np.asarray(table.column(c)) for c in ("cell", "role", "fp", "label", "n"))
         bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, p.bits // 64)
-        a, b, back = offered(cell, left, fp, label, n, bits, offers, p.percent)
+        rights, lefts = np.flatnonzero(role != 1), np.flatnonzero(role > 0)
+        at, is_left = np.concatenate((rights, lefts)), np.repeat([False, True], [len(rights), len(lefts)])
+        a, b, back = offered(cell[at], is_left, fp[at], label[at], n[at], bits[at], offers, p.percent)
         runs = np.asarray(table.column("run"))[np.isin(cell, back)]
         runs = np.unique(runs)
         ends = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
@@ -327,7 +332,7 @@ def across(holders: DataFrame, material: DataFrame, labels: DataFrame, offers: i
         return pa.table({"run": pa.concat_arrays([none(k), pa.array(runs, pa.int64())]), "a": pa.concat_arrays([pa.array(ends[0]), none(m)]), "b": pa.concat_arrays([pa.array(ends[1]), none(m)])})
 
     key = F.xxhash64("run", F.col("cell.i"), F.col("cell.j"))
-    flat = rows.select(key.alias("cell"), F.col("cell.left").alias("left"), "run", "fp", "label", "n", "bitmap")
+    flat = rows.select(key.alias("cell"), F.col("cell.role").alias("role"), "run", "fp", "label", "n", "bitmap")
     return flat.groupBy(F.pmod("cell", F.lit(tasks)).alias("task")).applyInArrow(run, "run long, a long, b long").distinct()
 
 
