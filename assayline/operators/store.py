@@ -130,15 +130,15 @@ def prune_files(marks: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def upsert_reports(reports: DataFrame, new: DataFrame) -> DataFrame:
-    """By (patient, number): file, hash and lab newest if given, notes only if given, dates of the first import kept."""
-    k = [F.col("patient_id"), F.coalesce("report_number", F.lit(""))]
-    old = reports.withColumn("__k", F.struct(*k))
-    fresh = keep_one(new, k, F.desc("file_md5"), F.desc("source_file")).withColumn("__k", F.struct(*k))
-    j = old.alias("o").join(fresh.alias("n"), "__k", "full_outer")
-    newest = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
-    first = lambda c: F.when(F.col("o.id").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    pick = {"source_file": newest, "file_md5": newest, "lab": newest, "notes": newest, "assistance_number": newest}
-    return j.select(*[pick.get(c, first)(c) for c in reports.columns])
+    """By (patient, number): file, hash, lab, notes and assistance number are the newest given, id and dates those of the first
+    import. Several new rows of one key come one after the other, by id."""
+    k = F.struct(F.col("patient_id"), F.coalesce("report_number", F.lit("")))
+    newest = {"source_file", "file_md5", "lab", "notes", "assistance_number"} & set(reports.columns)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id")))
+    fresh = new.groupBy(k.alias("__k")).agg(*[(last(c) if c in newest else F.min_by(c, "id")).alias(c) for c in reports.columns])
+    j = reports.withColumn("__k", k).alias("o").join(fresh.alias("n"), "__k", "full_outer")
+    first = lambda c: F.when(F.col("o.id").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return j.select(*[(F.coalesce(f"n.{c}", f"o.{c}") if c in newest else first(c)).alias(c) for c in reports.columns])
 
 
 def replace_results(results: DataFrame, new: DataFrame) -> DataFrame:
@@ -184,34 +184,65 @@ def clear_import(tables: Tables, filename: str) -> Tables:
 
 
 def merge_patients(tables: Tables, mapping: DataFrame) -> Tables:
-    """``mapping`` (source, target): reports move; one whose number the target has goes with its results; the target's
-    blanks are filled; targets and readings move, the destination's own win."""
+    """``mapping`` (source, target): sources go into their target one after the other, by id.
+
+    Reports move; one whose number the target has by then goes, with its results and the mark of its file. The target's
+    blanks are filled; an nhc of a source that is not the target's joins its ``nhc_alt``. Targets and readings move, the
+    destination's own win, then those of the smallest source.
+    """
     m = mapping.select(F.col("source").alias("__source"), F.col("target").alias("__target"))
-    to = lambda df: df.join(m, df.patient_id == F.col("__source"), "left").withColumn("__moved", F.col("__target").isNotNull().cast("int")).withColumn("patient_id", F.coalesce("__target", "patient_id")).drop("__source", "__target")
-    moved = to(tables["reports"])
-    number = F.when(F.coalesce("report_number", F.lit("")) != "", F.col("report_number")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
-    reports = keep_one(moved, [F.col("patient_id"), number], "__moved", "id").drop("__moved").select(tables["reports"].columns)
-    out = {**tables, "reports": reports, "results": tables["results"].join(reports.select(F.col("id").alias("report_id")), "report_id", "left_semi").select(tables["results"].columns)}
-    fill = [c for c in tables["patients"].columns if c not in ("id", "full_name", "name_key")]
-    sources = tables["patients"].join(m, F.col("id") == F.col("__source")).groupBy("__target").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fill])
+    to = lambda df: df.join(m, df.patient_id == F.col("__source"), "left").withColumn("__from", F.col("__source")).withColumn("patient_id", F.coalesce("__target", "patient_id")).drop("__source", "__target")
+    # rows that were there are first, as null comes before any source; of those without a number a patient may have several
+    number, source = F.coalesce("report_number", F.lit("")), F.asc_nulls_first("__from")
+    by = Window.partitionBy("patient_id", number)
+    unnumbered = F.rank().over(by.orderBy(source, F.when(F.col("__from").isNotNull(), F.col("id"))))
+    moved = to(tables["reports"]).withColumn("__rank", F.when(number == "", unnumbered).otherwise(F.row_number().over(by.orderBy(source, "id"))))
+    reports = moved.where("__rank = 1").select(tables["reports"].columns)
+    gone = moved.where("__rank > 1").select("id")
+    out = {**tables, "reports": reports, "results": tables["results"].join(gone.select(F.col("id").alias("report_id")), "report_id", "left_anti").select(tables["results"].columns)}
+    if "processed_files" in tables:
+        marks = tables["processed_files"]
+        out["processed_files"] = marks.join(gone.select(F.col("id").alias("report_id")), "report_id", "left_anti").select(marks.columns)
+    columns = tables["patients"].columns
+    fill = [c for c in columns if c not in ("id", "full_name", "name_key", "nhc_alt")]
+    numbers = [F.transform(F.sort_array(F.collect_list(F.when(F.col("nhc").isNotNull(), F.struct("id", "nhc")))), lambda x: x["nhc"]).alias("__numbers")] if "nhc" in columns else []
+    sources = tables["patients"].join(m, F.col("id") == F.col("__source")).groupBy("__target").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fill], *numbers)
     kept = tables["patients"].join(mapping.select(F.col("source").alias("id")), "id", "left_anti").join(sources, F.col("id") == F.col("__target"), "left")
-    out["patients"] = kept.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in fill else F.col(c) for c in tables["patients"].columns])
+    picked = {c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in fill}
+    if "nhc_alt" in columns and "nhc" in columns:
+        more = F.filter(F.coalesce("__numbers", F.array().cast("array<string>")), lambda x: x != F.coalesce("nhc", "__nhc"))
+        picked["nhc_alt"] = F.when(F.size(more) > 0, F.aggregate(more, F.coalesce("nhc_alt", F.lit("")), add_alternative)).otherwise(F.col("nhc_alt"))
+    out["patients"] = kept.select(*[picked.get(c, F.col(c)).alias(c) for c in columns])
     for name, key in (("targets", "canonical_id"), ("bp_readings", "measured_at")):
         if name in tables:
-            out[name] = keep_one(to(tables[name]), ["patient_id", key], "__moved").select(tables[name].columns)
+            out[name] = keep_one(to(tables[name]), ["patient_id", key], F.asc_nulls_first("__from"), *([F.col("id")] if "id" in tables[name].columns else [])).select(tables[name].columns)
     return out
 
 
+def refused_merges(results: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(target) of the merges in ``mapping`` (source, target) that must not be: two of the ids that would be one stand in one
+    report, unless both have the same codes and at least one."""
+    members = mapping.select("target", F.col("source").alias("canonical_id")).union(mapping.select("target", F.col("target").alias("canonical_id"))).distinct()
+    own = results.join(members, "canonical_id").select("target", "canonical_id", "report_id", F.nullif("loinc_code", F.lit("")).alias("code"))
+    codes = F.array_join(F.array_sort(F.collect_set("code")), "\n")
+    coded = own.groupBy("target", "canonical_id").agg(codes.alias("codes"))
+    # ids of one report that differ in codes, or have none, are in the way of each other
+    ids = own.select("target", "canonical_id", "report_id").distinct().join(coded, ["target", "canonical_id"])
+    met = ids.groupBy("target", "report_id").agg(F.count("*").alias("n"), F.min("codes").alias("lo"), F.max("codes").alias("hi"))
+    return met.where("n > 1 AND (lo <> hi OR lo = '')").select("target").distinct()
+
+
 def merge_canonical(results: DataFrame, targets: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``mapping`` (source, target): results and targets are renamed (the destination's target wins), and every raw name
-    of a source becomes an alias (alias, canonical_id) of its target."""
-    m = mapping
+    """``mapping`` (source, target): results and targets are renamed (the destination's target wins, then that of the smallest
+    source), and every raw name of a source becomes an alias (alias, canonical_id) of its target. Merges that
+    ``refused_merges`` names are left out as a whole."""
+    m = mapping.join(refused_merges(results, mapping), "target", "left_anti").select("source", "target")
     renamed = lambda df: df.join(m, df.canonical_id == F.col("source"), "left")
     res = renamed(results)
     more = res.where("target IS NOT NULL").select(text.normalize_test_name(F.col("raw_name")).alias("alias"), F.col("target").alias("canonical_id")).where("alias <> ''").distinct()
     new = aliases.join(more.select("alias").distinct(), "alias", "left_anti").select("alias", "canonical_id").unionByName(more)
     put = lambda df: df.withColumn("canonical_id", F.coalesce("target", "canonical_id"))
-    t = keep_one(put(renamed(targets).withColumn("__moved", F.col("target").isNotNull().cast("int"))), ["patient_id", "canonical_id"], "__moved").select(targets.columns)
+    t = keep_one(put(renamed(targets)), ["patient_id", "canonical_id"], F.asc_nulls_first("source")).select(targets.columns)
     return put(res).select(results.columns), t, new
 
 
@@ -232,11 +263,16 @@ def add_readings(readings: DataFrame, new: DataFrame) -> DataFrame:
     return keep_one(both, ["patient_id", "measured_at"], "__v", "id").drop("__v")
 
 
-def validated_updates(edits: DataFrame, this_year: int) -> DataFrame:
-    """Edits of patients with ``error``: the first rule that fails; a patient who is no former smoker loses the period."""
+def validated_updates(edits: DataFrame, this_year: int, patients: DataFrame | None = None) -> DataFrame:
+    """Edits of patients with ``error``: the first rule that fails; a patient who is no former smoker loses the period.
+
+    An edit is a duplicate if another patient has its name and birth date: another edit, or a stored patient whom no edit
+    changes. Without a birth date there are no duplicates.
+    """
     year = lambda c: F.col(c).isNull() | F.col(c).between(1900, this_year)
     error = (
-        F.when(F.col("birth_date").isNotNull() & F.col("birth_date").try_cast("date").isNull(), "birth_date")
+        F.when(F.coalesce(F.trim("full_name"), F.lit("")) == "", "full_name")
+        .when(F.col("birth_date").isNotNull() & F.col("birth_date").try_cast("date").isNull(), "birth_date")
         .when(F.col("sex").isNotNull() & ~F.col("sex").isin("Hombre", "Mujer"), "sex")
         .when(~F.coalesce(F.col("smoker_current").isin(0, 1), F.lit(True)), "smoker_current")
         .when(~F.coalesce(F.col("smoker_former").isin(0, 1), F.lit(True)), "smoker_former")
@@ -246,8 +282,12 @@ def validated_updates(edits: DataFrame, this_year: int) -> DataFrame:
     out = edits.withColumn("error", error).withColumn("name_key", text.normalize_name(F.col("full_name")))
     for c in ("smoker_former_from", "smoker_former_to"):
         out = out.withColumn(c, F.when(F.col("smoker_former") == 1, F.col(c)))
-    n = F.count(F.lit(1)).over(Window.partitionBy("name_key", F.coalesce("birth_date", F.lit(""))))
-    return out.withColumn("error", F.coalesce("error", F.when(n > 1, "duplicate")))
+    people = out.select("id", "name_key", "birth_date")
+    if patients is not None:
+        people = people.unionByName(patients.join(edits.select("id"), "id", "left_anti").select("id", F.coalesce("name_key", text.normalize_name(F.col("full_name"))).alias("name_key"), "birth_date"))
+    twice = people.groupBy("name_key", "birth_date").agg(F.count_distinct("id").alias("__n")).where("__n > 1")
+    out = out.join(twice, ["name_key", "birth_date"], "left")
+    return out.withColumn("error", F.coalesce("error", F.when(F.col("__n") > 1, "duplicate"))).select(*edits.columns, *(c for c in ("name_key", "error") if c not in edits.columns))
 
 
 def add_alternative(values: Column, new: Column) -> Column:
@@ -260,26 +300,6 @@ def drop_alternative(values: Column, old: Column) -> Column:
     return F.array_join(F.array_remove(F.filter(F.split(F.coalesce(values, F.lit("")), ","), lambda x: x != ""), F.coalesce(old, F.lit(""))), ",")
 
 
-def resolve_patients(patients: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(row, patient_id, matched_by) of each incoming report header (row, full_name, birth_date, dni, cip, nhc).
-
-    Existing patients match by name and birth date, then dni, cip, nhc. What matches none is grouped within the batch by
-    the same keys in the same order, and the first row of a group, by ``row``, founds the patient (id null here). Where the
-    reference lets an early row change a patient that a later row then matches, a second pass over the result does.
-    """
-    inc = incoming.withColumn("name_key", text.normalize_name(F.col("full_name")))
-    keys = {"name": lambda p: F.concat_ws("|", F.col(f"{p}name_key"), F.coalesce(F.col(f"{p}birth_date"), F.lit(""))), "dni": lambda p: F.nullif(F.col(f"{p}dni"), F.lit("")), "cip": lambda p: F.nullif(F.col(f"{p}cip"), F.lit("")), "nhc": lambda p: F.nullif(F.col(f"{p}nhc"), F.lit(""))}
-    out = inc
-    for k, make in keys.items():
-        have = patients.withColumn("__k", make("")).where("__k IS NOT NULL").groupBy("__k").agg(F.min("id").alias(f"__{k}"))
-        out = out.withColumn("__k", make("")).join(have, "__k", "left").drop("__k")
-    how = F.coalesce(*[F.when(F.col(f"__{k}").isNotNull(), k) for k in keys])
-    out = out.withColumn("patient_id", F.coalesce(*[F.col(f"__{k}") for k in keys])).withColumn("matched_by", how)
-    group = F.coalesce(keys["dni"](""), keys["cip"](""), keys["nhc"](""), keys["name"](""))
-    first = F.min("row").over(Window.partitionBy(F.when(F.col("patient_id").isNull(), group).otherwise(F.col("row").cast("string"))))
-    return out.withColumn("founder", F.when(F.col("patient_id").isNull(), first)).select("row", "patient_id", F.coalesce("matched_by", F.when(F.col("founder") == F.col("row"), "new").otherwise("batch")).alias("matched_by"), "founder")
-
-
 # Small reads and settings
 
 

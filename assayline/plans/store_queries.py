@@ -328,8 +328,8 @@ def incremental_skip(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
     """E6."""
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), "o_custkey").alias("filename"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("processed_at"))
-    med = 7000
-    return store.record_files(o.where(F.col("id") < med).transform(lambda d: store.keep_one(d, ["filename"], F.desc("id"))), o).select("filename", "id")
+    old = o.where(F.col("id") % 2 == 0).transform(lambda d: store.keep_one(d, ["filename"], F.desc("id")))
+    return store.record_files(old, o).select("filename", "id")
 
 
 @query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 1 THEN o_custkey - 1 ELSE o_custkey END AS patient_id, (o_custkey % 4 = 1)::INT AS moved, o_orderkey % 50 AS number FROM orders),
@@ -375,13 +375,3 @@ def date_grammar(spark: SparkSession, sf: str) -> DataFrame:
     """J6."""
     d = F.col("o_orderdate")
     return read(spark, sf, "orders").select("o_orderkey", text.parse_date(F.date_format(d, "yyyy-MM-dd")).alias("iso"), text.parse_date(F.concat(F.lit("Fecha: "), F.date_format(d, "d/M/yyyy"), F.lit(" 7:05"))).alias("dmy"))
-
-
-@query()
-def resolve_patients_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """E1."""
-    c = read(spark, sf, "customer")
-    k = F.col("c_custkey")
-    who = c.select(k.alias("row"), F.col("c_name").alias("full_name"), F.lit(None).cast("string").alias("birth_date"), F.when(k % 3 == 0, F.concat(F.lit("D"), k)).alias("dni"), F.lit(None).cast("string").alias("cip"), F.concat(F.lit("H"), k % 100).alias("nhc"))
-    have = who.where("row % 2 = 0").withColumn("name_key", text.normalize_name(F.col("full_name"))).withColumnRenamed("row", "id")
-    return store.resolve_patients(have, who)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import tomllib
 from collections.abc import Iterable
 
@@ -64,32 +63,63 @@ HEADERS = {
 }
 
 
-def header_columns(line: str) -> tuple[str, list[str | None]]:
-    """The delimiter of a header line (the most frequent of ; , tab) and the column that each field names; first one wins."""
-    import unicodedata
+#: What bytes 0x80 to 0x9F are in the Windows code page; those that it leaves open stay as they are.
+_WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
 
-    sep = max(";,\t", key=line.count) if any(c in line for c in ";,\t") else ";"
-    seen, out = set(), []
-    for x in next(csv.reader([line.lstrip("﻿")], delimiter=sep)):
-        k = "".join(c for c in unicodedata.normalize("NFKD", x.split("(")[0].strip().lower()) if not unicodedata.combining(c))
-        col = HEADERS.get(k)
-        out.append(col if col and col not in seen else None)
-        seen.add(col)
-    missing = {"measured_at", "systolic", "diastolic"} - seen
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
-    return sep, out
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes: UTF-8 where they are that, else the Windows code page; without a mark of byte order."""
+    raw = content.cast("string")
+    windows = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), _WINDOWS)
+    return F.regexp_replace(F.when(F.is_valid_utf8(raw), raw).otherwise(windows), "^\ufeff", "")
+
+
+def header_name(x: Column) -> Column:
+    """The column that a printed header names, null if none."""
+    key = F.lower(text.strip_accents(F.regexp_replace(x, r"\(.*?\)", "")))
+    key = F.trim(F.regexp_replace(F.replace(key, F.lit("_"), F.lit(" ")), r"\s+", " "))
+    known = {k.replace("_", " "): v for k, v in HEADERS.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), key)
+
+
+def pressure_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readings, errors) of files (path, content), each in its own encoding, with its own delimiter and order of columns.
+
+    Readings are text columns for ``pressure.validated`` with path and line (the header's is 1); blank rows are skipped. The
+    delimiter is the most frequent of ; , and tab in the header, ; where there is none; of columns of one name the first counts.
+    A file that lacks a column it needs, or has no line, has one error and no readings.
+    """
+    body = files.select("path", F.split(decoded(F.col("content")), r"\r\n|\n|\r", -1).alias("lines"))
+    count = lambda c: F.char_length("header") - F.char_length(F.replace("header", F.lit(c), F.lit("")))
+    body = body.withColumn("header", F.col("lines")[0])
+    most = F.greatest(*[count(c) for c in ";,\t"])
+    sep = F.when(most == count(";"), ";").when(most == count(","), ",").otherwise("\t")
+
+    def cells(line: Column) -> Column:
+        """The cells of a line in its file's delimiter, quotes taken off."""
+        one = lambda c: F.regexp_extract_all(F.concat(F.lit(c), line), F.lit(rf'{c}("(?:[^"]|"")*"|[^{c}]*)'), F.lit(1))
+        found = F.when(F.col("sep") == ";", one(";")).when(F.col("sep") == ",", one(",")).otherwise(one("\t"))
+        return F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+
+    body = body.withColumn("sep", sep)
+    body = body.withColumn("columns", F.transform(cells(F.col("header")), header_name))
+    missing = F.array_compact(F.array(*[F.when(~F.array_contains(F.array_compact("columns"), c), c) for c in ("measured_at", "systolic", "diastolic")]))
+    body = body.withColumn("error", F.when(F.coalesce(F.trim(F.array_join("lines", "")), F.lit("")) == "", "the file is empty").when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))))
+    errors = body.where("error IS NOT NULL").select("path", "error")
+    rows = body.where("error IS NULL").select("path", "sep", "columns", F.posexplode("lines").alias("at", "text")).where((F.col("at") > 0) & (F.trim("text") != ""))
+    rows = rows.select("path", (F.col("at") + 1).alias("line"), "columns", cells(F.col("text")).alias("cells"))
+    pick = lambda c: F.trim(F.try_element_at("cells", F.array_position("columns", F.lit(c)).cast("int"))).alias(c)
+    names = ("measured_at", "systolic", "diastolic", "pulse", "place", "note")
+    found = rows.select("path", "line", *[F.when(F.array_contains(F.array_compact("columns"), c), pick(c)).alias(c) for c in names])
+    return found.where(F.concat_ws("", *names) != ""), errors
 
 
 def pressure_readings(spark: SparkSession, path: str) -> DataFrame:
-    """Raw readings of one file, as text columns for ``pressure.validated``; blank rows are skipped."""
-    lines = spark.read.text(path)
-    sep, cols = header_columns(lines.first()[0])
-    raw = spark.read.options(header="true", sep=sep).csv(path)
-    named = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
-    pick = {c: F.col(f"c{i}") for i, c in enumerate(cols) if c}
-    out = named.select(*[(pick[c] if c in pick else F.lit(None).cast("string")).alias(c) for c in ("measured_at", "systolic", "diastolic", "pulse", "place", "note")])
-    return out.where(F.concat_ws("", *out.columns) != "")
+    """Raw readings of one file, as text columns for ``pressure.validated``; blank rows are skipped, and a file that can't be
+    read is an error."""
+    found, errors = pressure_files(spark.read.format("binaryFile").load(path).select("path", "content"))
+    if bad := errors.first():
+        raise ValueError(bad["error"])
+    return found.drop("path", "line")
 
 
 def load_profiles(paths: Iterable[str]) -> list[Profile]:
@@ -107,9 +137,12 @@ def defused(df: DataFrame) -> DataFrame:
     return df.select(*[text.defuse_formula(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
-def export_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Defused CSV with a header; one file only where asked for."""
+def export_csv(df: DataFrame, path: str, single: bool = False, mark: bool = False) -> None:
+    """Defused CSV with a header; one file only where asked for. ``mark``: with the mark of byte order that spreadsheets look
+    for in front of the header."""
     out = defused(df)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", "true").csv(path)
 
 

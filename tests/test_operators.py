@@ -123,8 +123,10 @@ def test_pressure_file(spark, tmp_path):
     raw = files.pressure_readings(spark, str(tmp_path / "a.csv"))
     got = pressure.validated(raw, F.lit("2030-01-01 00:00:00").cast("timestamp")).collect()
     assert [r.error for r in got] == [None, "order"]
-    with pytest.raises(ValueError):
-        files.header_columns("fecha;pulso")
+    bad = tmp_path / "b.csv"
+    bad.write_text("fecha;pulso\n1;2\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="systolic, diastolic"):
+        files.pressure_readings(spark, str(bad))
 
 
 def test_export_round_trip(spark, tmp_path):
