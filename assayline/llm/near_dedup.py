@@ -221,5 +221,5 @@ WITH RECURSIVE w AS (
 ), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e
 ), r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v
 )
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON r.v = n.doc_id GROUP BY ALL
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
 """
