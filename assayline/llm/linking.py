@@ -342,9 +342,9 @@ def linked(found: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkPara
     spark = found.sparkSession
     pairs = found.where("run IS NULL").select("a", "b").distinct()
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tested = stored(close(first, material, p))
-    edges = stored(verified(tested, material, tokens_of, p))
-    labels = connected(edges)
+    # what was tested, a table for each round
+    tested = [stored(close(first, material, p))]
+    labels = connected(verified(tested[0], material, tokens_of, p))
     freed(spark)
     ends = [labels.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
     apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
@@ -352,21 +352,20 @@ def linked(found: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkPara
     holders = found.where("run IS NOT NULL").select("run", F.col("b").alias("fp")).distinct()
     while True:
         if not more.isEmpty():
-            tested, old = stored(tested.select("a", "b").union(more.select("a", "b"))), tested
-            found_now = stored(verified(more, material, tokens_of, p))
-            dropped(old, more)
-            if not found_now.isEmpty():
-                edges = stored(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found_now))
-                labels = connected(edges)
-                dropped(edges)
-            dropped(found_now)
+            tested.append(more)
+            joined = stored(verified(more, material, tokens_of, p))
+            if not joined.isEmpty():
+                labels = connected(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(joined))
+            dropped(joined)
             freed(spark)
         if holders is None:
             return labels
         fresh = stored(across(holders, material, labels, offers, p))
         # only runs that held something back can offer more: what the others have is in ``fresh``, or tested
         runs_left = stored(holders.join(fresh.where("run IS NOT NULL").select("run"), "run", "left_semi"))
-        untested = fresh.where("run IS NULL").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        untested = fresh.where("run IS NULL").select("a", "b")
+        for t in tested:
+            untested = untested.join(t.select("a", "b"), ["a", "b"], "left_anti")
         more = stored(untested.join(material.select(F.col("fp").alias("b"), "n"), "b").select("a", "b", "n"))
         dropped(fresh)
         holders = None if runs_left.isEmpty() else runs_left
