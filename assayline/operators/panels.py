@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, indices, ranges, units
@@ -13,6 +13,63 @@ from ..functions import dates, indices, ranges, units
 C = F.col
 
 
+# Each panel's analytes in the order of its heat map, with the label of the row and the ids that are one
+# parameter under different reports, the first one that has a date's point giving it.
+ANALYTES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
+    ("lipid", "total", "Colesterol total", ("colesterol_serum", "colesterol")),
+    ("lipid", "hdl", "Colesterol HDL", ("colesterol_hdl_serum", "colesterol_hdl")),
+    ("lipid", "ldl", "Colesterol LDL", ("colesterol_ldl",)),
+    ("lipid", "nonhdl", "Colesterol no HDL", ("colesterol_no_hdl_serum",)),
+    ("lipid", "vldl", "Colesterol VLDL", ("colesterol_vldl",)),
+    ("lipid", "tg", "Triglicéridos", ("triglicerids_serum", "triglicerids")),
+    ("hepatic", "ast", "AST (GOT)", ("aspartat_aminotranferasa_ast_serum",)),
+    ("hepatic", "alt", "ALT (GPT)", ("alanina_aminotransferasa_alt_serum",)),
+    ("hepatic", "plt", "Plaquetas", ("plaquetes",)),
+    ("renal", "egfr", "Filtrado glomerular", ("filtrat_glomerular_estimat_serum", "filtrat_glomerular_estimat", "filtrat_glomerular_estimat_90_ml_min")),
+    ("renal", "creat", "Creatinina", ("creatinina_serum",)),
+    ("renal", "urea", "Urea", ("urea_serum",)),
+    ("renal", "acr", "Albúmina/creatinina (orina)", ("albumina_creatinina", "albumina_creatinina_orina_esporadica")),
+    ("hemogram", "rbc", "Hematíes", ("hematies",)),
+    ("hemogram", "mcv", "VCM", ("vcm",)),
+    ("hemogram", "rdw", "RDW", ("rdw_cv",)),
+    ("hemogram", "neu", "Neutrófilos (absoluto)", ("neutrofils_total",)),
+    ("hemogram", "lym", "Linfocitos (absoluto)", ("limfocits_total", "linfocits_total")),
+    ("hemogram", "mono", "Monocitos (absoluto)", ("monocits_total",)),
+    ("hemogram", "plt", "Plaquetas", ("plaquetes",)),
+    ("iron", "iron", "Hierro", ("ferro_serum", "ferro")),
+    ("iron", "ferritin", "Ferritina", ("ferritina_serum", "ferritina")),
+    ("iron", "transferrin", "Transferrina", ("transferrina_serum", "transferrina")),
+    ("iron", "tsat", "Saturación de transferrina", ("saturacio_transferrina_serum", "saturacio")),
+    ("inflammation", "crp", "PCR", ("proteina_c_reactiva_serum", "proteina_c_reactiva", "proteina_c_reactiva_en_suero", "srm_proteina_c_reactiva_c_massa")),
+    ("inflammation", "esr", "VSG", ("vsg_velocitat_de_sedimentacio_globular", "vsg_velocitat_de_sedimentacio_globular_sang")),
+    ("uric", "urate", "Ácido úrico", ("urat_serum",)),
+    ("calcium", "ca", "Calcio", ("calci_serum", "calci")),
+    ("calcium", "alb", "Albúmina", ("albumina_serum", "albumina_g_dl", "albumina_g_l", "srm_albumina_c_massa", "seroalbumina")),
+    ("glycemic", "glucose", "Glucosa", ("glucosa_serum", "glucosa")),
+    ("glycemic", "hba1c", "HbA1c", ("hb_glicosilada_hba1c_sang",)),
+    ("thyroid", "tsh", "TSH", ("tirotropina_tsh_serum", "tirotropina_tsh")),
+    ("thyroid", "ft4", "T4 libre", ("tiroxina_lliure_t4l", "tiroxina_lliure_t4_lliure_serum")),
+)
+
+
+def panel_ids() -> list[str]:
+    """Every id that a panel uses."""
+    return sorted({i for *_, ids in ANALYTES for i in ids})
+
+
+def analyte_table(spark: SparkSession) -> DataFrame:
+    """(panel, analyte, label, place, canonical_id, priority): the panels' analytes as a dimension."""
+    rows = [(p, a, label, place, i, k) for place, (p, a, label, ids) in enumerate(ANALYTES) for k, i in enumerate(ids)]
+    return spark.createDataFrame(rows, "panel string, analyte string, label string, place int, canonical_id string, priority int")
+
+
+def heatmap_rows(s: DataFrame, table: DataFrame) -> DataFrame:
+    """Points of series (patient_id, canonical_id, fecha, result_id) as rows of the panels' heat maps: one for each analyte
+    and date, of the first id that has one. An id of several panels gives a point to each."""
+    first = F.row_number().over(Window.partitionBy("patient_id", "panel", "analyte", "fecha").orderBy("priority", "result_id"))
+    return s.join(table, "canonical_id").withColumn("__n", first).where("__n = 1").drop("__n", "priority")
+
+
 @dataclass(frozen=True)
 class Index:
     """A derived series: its formula over the pivoted analytes, and the bounds that flag it (numbers or columns)."""

@@ -47,7 +47,7 @@ def flagged(s: DataFrame) -> DataFrame:
 def merged(s: DataFrame, ids: DataFrame) -> DataFrame:
     """One point per full date of an analyte: ``ids`` (analyte, canonical_id, priority) says which id comes first."""
     first = F.row_number().over(Window.partitionBy("patient_id", "analyte", "fecha").orderBy("priority", "result_id"))
-    return s.join(F.broadcast(ids), "canonical_id").withColumn("__n", first).where("__n = 1").drop("__n", "priority")
+    return s.join(ids, "canonical_id").withColumn("__n", first).where("__n = 1").drop("__n", "priority")
 
 
 def with_targets(s: DataFrame, targets: DataFrame) -> DataFrame:
@@ -95,8 +95,8 @@ def latest_report_summary(s: DataFrame) -> DataFrame:
 
 
 def with_variation(s: DataFrame, variation: DataFrame, patients: DataFrame | None = None) -> DataFrame:
-    """Adds cvi and cva of each test; the dimension is a fixed small table."""
-    v = F.broadcast(variation.select("canonical_id", F.col("cvi").alias("__c"), "cvi_f", "cvi_m", "cva"))
+    """Adds cvi and cva of each test; the dimension is small, and Spark sees to that."""
+    v = variation.select("canonical_id", F.col("cvi").alias("__c"), "cvi_f", "cvi_m", "cva")
     out = s.join(v, "canonical_id", "left")
     out = out.join(patients.select(F.col("id").alias("patient_id"), "sex"), "patient_id", "left") if patients is not None else out.withColumn("sex", F.lit(None).cast("string"))
     return out.withColumn("cvi", indices.cvi_for(F.col("sex"), F.col("__c"), F.col("cvi_f"), F.col("cvi_m"))).drop("__c", "cvi_f", "cvi_m", "sex")
