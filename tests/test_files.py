@@ -94,7 +94,7 @@ def test_encodings(spark):
 
 
 def test_marked_export(spark, tmp_path):
-    files.export_csv(spark.createDataFrame([("x", 1)], "año string, b int"), str(tmp_path / "o"), single=True, mark=True)
+    files.export_csv(spark.createDataFrame([("x", 1)], "`año` string, b int"), str(tmp_path / "o"), single=True, mark=True)
     (part,) = (tmp_path / "o").glob("part-*")
     assert part.read_bytes().startswith(b"\xef\xbb\xbfa")
 
