@@ -4,9 +4,9 @@ Every rolling word k-gram of every text is joined with the k-grams of the templa
 position less template position) that they agree on, neighbouring offsets merge, and a merged span counts once it covers
 enough of the template's k-grams in a stretch of about the template's length. Fixed phrases give base labels beside it.
 
-A null or empty text has no words, no places and no labels (empty strings) and scores 0. Rows that share a doc_id are
-reported apart, and each shows the labels that any of them earns; a null doc_id earns base labels only. An empty table
-gives no rows. Columns other than doc_id and text are ignored.
+A null or empty text has no words, no places and no labels (empty strings) and scores 0. Rows are told apart by doc_id and
+text (its md5 digest): different texts that share a doc_id earn their labels apart, a null doc_id is an id like any other,
+and rows that repeat both have equal results. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -79,6 +79,11 @@ def template_grams(spark: SparkSession, p: ScanParameters, templates: tuple = TE
     return spark.createDataFrame(rows, "h long, template int, label string, tpos int, grams int")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The id, the text, and the digest that tells texts of one id apart."""
+    return only(docs).withColumn("digest", F.md5(F.col("text").cast("binary")))
+
+
 def base(docs: DataFrame) -> DataFrame:
     """Words and fixed phrases of each text."""
     phrases = [(_words([a.encode()]).hashes, b) for a, b in PHRASES]
@@ -103,37 +108,38 @@ def base(docs: DataFrame) -> DataFrame:
                 for i in np.unique(own):
                     labels[i].add(label)
             none = total == 0
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_words": pa.array(w.counts().astype(np.int64)), "n_base": pa.array(total), "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_list": pa.array([sorted(x) for x in labels], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "digest": b.column("digest"), "n_words": pa.array(w.counts().astype(np.int64)), "n_base": pa.array(total), "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_list": pa.array([sorted(x) for x in labels], pa.list_(pa.string()))})
 
-    return only(docs).mapInArrow(find, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_list array<string>")
+    return keyed(docs).mapInArrow(find, "doc_id long, digest string, n_words long, n_base long, first_word long, last_word long, base_list array<string>")
 
 
 def spans(docs: DataFrame, p: ScanParameters = ScanParameters(), templates: tuple = TEMPLATES) -> DataFrame:
-    """(doc_id, template, label, first_word, last_word, cover) of each verified span."""
+    """(doc_id, digest, template, label, first_word, last_word, cover) of each verified span."""
+    row = ("doc_id", "digest")
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             w = _words(raw_texts(b.column("text")))
             at, h = w.grams(p.k)
             cut = np.searchsorted(w.doc[at], np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["doc_id", "digest", "grams"])
 
-    rolled = only(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(roll, "doc_id long, grams array<long>")
-    grams = rolled.select("doc_id", F.posexplode("grams").alias("pos", "h"))
+    rolled = keyed(docs).where("text IS NOT NULL").mapInArrow(roll, "doc_id long, digest string, grams array<long>")
+    grams = rolled.select(*row, F.posexplode("grams").alias("pos", "h"))
     hits = grams.join(F.broadcast(template_grams(docs.sparkSession, p, templates)), "h")
-    votes = hits.groupBy("doc_id", "template", "label", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("covered"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = hits.groupBy(*row, "template", "label", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("covered"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    by = Window.partitionBy(*row, "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > p.slack, F.lit(True))
-    merged = votes.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(by)).groupBy("doc_id", "template", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + p.k - 1).alias("last_word"))
+    merged = votes.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(by)).groupBy(*row, "template", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + p.k - 1).alias("last_word"))
     cover = F.col("n") / F.col("grams")
     room = F.col("last_word") - F.col("first_word") + 1 <= 1.5 * (F.col("grams") + p.k - 1) + p.slack
-    return merged.where((cover >= p.cover) & room).select("doc_id", "template", "label", "first_word", "last_word", cover.alias("cover"))
+    return merged.where((cover >= p.cover) & room).select(*row, "template", "label", "first_word", "last_word", cover.alias("cover"))
 
 
 def scan(docs: DataFrame, p: ScanParameters = ScanParameters(), templates: tuple = TEMPLATES) -> DataFrame:
     """One row per document, for the query."""
-    found = spans(docs, p, templates).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
-    out = base(docs).join(found, "doc_id", "left")
+    found = spans(docs, p, templates).groupBy("doc_id", "digest").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
+    out = base(docs).alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("b.digest").eqNullSafe(F.col("f.digest")), "left").select("b.*", "more", "cover")
     text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     none = F.array().cast("array<string>")
     score = F.greatest(F.coalesce("cover", F.lit(0.0)), F.when(F.col("n_base") > 0, p.base_score).otherwise(0.0))
