@@ -30,9 +30,8 @@ class IndexParameters:
     #: Rows that the codebooks are fitted on, at most.
     sample_rows: int = 10_000
     rounds: int = 15
-    #: A query stops once its cells hold this share of all rows, and at least so many rows.
+    #: A query stops once its cells hold this share of all rows, and more rows than it wants neighbours.
     share: float = 0.65
-    least: int = 2_000
     neighbours: int = 10
     #: Rows of a block, at least; above, the table's size over ``blocks``.
     block_rows: int = 256
@@ -111,7 +110,7 @@ def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParam
     sizes = np.zeros(n_cells, np.int64)
     for r in index.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         sizes[r["cell"]] = r["count"]
-    want = max(int(np.ceil(p.share * sizes.sum())), p.least)
+    want = max(int(np.ceil(p.share * sizes.sum())), p.neighbours + 1)
     cuts = np.maximum(1, -(-sizes // max(p.block_rows, int(sizes.sum()) // p.blocks)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +125,9 @@ def search(vectors: DataFrame, is_query: Column, p: IndexParameters = IndexParam
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("vec_id").slice(i, 1).take(pa.array(np.zeros(len(keys), np.int32))), b.column("v").slice(i, 1).take(pa.array(np.zeros(len(keys), np.int32)))], ["block", "query_id", "q"])
 
     probes = rows.where(is_query).mapInArrow(probe, "block long, query_id long, q array<double>")
-    blocks = F.element_at(F.array(*[F.lit(int(x)) for x in cuts]), F.col("cell") + 1) if n_cells <= 4096 else F.lit(1)
-    index = index.select(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("vec_id", "v"), blocks.cast("long"))).alias("block"), "vec_id", "v")
+    cut = spark.createDataFrame([(i, int(x)) for i, x in enumerate(cuts) if x > 1], "cell int, parts long")  # at most centroids ** 2 rows
+    blocks = F.coalesce("parts", F.lit(1).cast("long"))
+    index = index.join(cut, "cell", "left").select(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("vec_id", "v"), blocks)).alias("block"), "vec_id", "v")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         """The nearest rows of one block for each query that probes it."""
