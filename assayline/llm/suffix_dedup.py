@@ -4,8 +4,8 @@ Every window of a text is dealt by the smallest hash of the short strings in it
 wherever they are, while only one in some hundred positions is an anchor. Neighbouring windows with one anchor make a
 context. Equal contexts are counted, not gathered; contexts that stand alone with their anchor are done. What is left goes
 to suffix arrays: the concatenated contexts of a task are sorted in two stages (the suffixes smaller than their successors
-directly, the others induced by scanning the buckets), and neighbours in the array whose common prefix reaches the window
-are repeats. An anchor with more distinct contexts than ``most_contexts`` (a passage in a great share of all texts) is
+directly, the others induced by scanning the buckets), the common prefixes of neighbours in the array are computed from
+their bytes, and neighbours whose prefix reaches the window are repeats. An anchor with more distinct contexts than ``most_contexts`` (a passage in a great share of all texts) is
 split further, into blocks of windows and down to single windows, which are counted. All of it is exact but for 64-bit hash values.
 
 Null and empty texts have no bytes (the digest of the empty string). Texts shorter than the window lose nothing. Rows that
@@ -142,11 +142,49 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def reaches(t: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
-    """Whether neighbours in a suffix array, all of ``window`` bytes at least, have a common prefix of that length."""
-    at = np.arange(len(t) - window + 1)
-    head = Hashes(t).raw(at, at + window)[sa] if len(sa) else np.zeros(0, np.uint64)
-    return head[:-1] == head[1:]
+def prefixes(t: np.ndarray, sa: np.ndarray, window: int, most: int = 1 << 22) -> np.ndarray:
+    """Lengths of the common prefixes of neighbours in a suffix array, all of ``window`` bytes at least; no more than that.
+
+    A few words of eight bytes tell most neighbours apart. The rest are taken in the order of the text: where a pair and the
+    pair one byte on have the same distance, one comparison of the bytes from the first to the last serves the whole run.
+    ``most`` bytes are compared at a time.
+    """
+    a, b = sa[:-1].astype(np.int64), sa[1:].astype(np.int64)
+    out = np.zeros(len(a), np.int64)
+    raw, rest = t.tobytes(), np.arange(len(a))
+    words = np.ndarray((max(len(t) - 7, 0),), np.uint64, raw, 0, (1,)) if len(t) > 7 else np.zeros(0, np.uint64)
+    for at in range(0, min(window // 8, 4) * 8, 8):
+        x = words[a[rest] + at] ^ words[b[rest] + at]
+        ends = np.flatnonzero(x)
+        lowest = x[ends] & (~x[ends] + _U(1))
+        out[rest[ends]] = at + np.log2(lowest.astype(np.float64)).astype(np.int64) // 8
+        rest = rest[x == 0]
+    rest = rest[np.argsort(a[rest], kind="stable")]
+    a, b = a[rest], b[rest]
+    if not len(a):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 1) | (np.diff(b) != 1))))
+    size = np.diff(np.concatenate((first, [len(a)])))
+    # a run much longer than the window is cut, so that no step holds more than it should
+    pieces = -(-size // most)
+    own = np.repeat(np.arange(len(first)), pieces)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, size = first[own] + nth * most, np.minimum(size[own] - nth * most, most)
+    work = np.cumsum(size + window - 1)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + most, side="right")))
+        span = size[lo:hi] + window - 1
+        ends = np.cumsum(span)
+        inner = np.arange(int(ends[-1])) - np.repeat(ends - span, span)
+        i = np.repeat(first[lo:hi], span)
+        differ = t[a[i] + inner] != t[b[i] + inner]
+        place = np.arange(len(differ))
+        stop = np.minimum.accumulate(np.where(differ, place, len(differ) + window)[::-1])[::-1]
+        mine = inner < np.repeat(size[lo:hi], span)
+        out[rest[(i + inner)[mine]]] = np.minimum(stop[mine] - place[mine], window)
+        lo = hi
+    return out
 
 
 def repeated(texts: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
@@ -156,7 +194,7 @@ def repeated(texts: list[bytes], counts: list[int], window: int) -> list[np.ndar
     starts = np.concatenate(([0], np.cumsum(sizes)))
     sa = suffix_array(t, window)
     sa = sa[sa <= len(t) - window]
-    near = reaches(t, sa, window)
+    near = prefixes(t, sa, window) >= window
     group = np.concatenate(([0], np.cumsum(~near)))
     owner = np.searchsorted(starts, sa, side="right") - 1
     inside = sa + window <= starts[owner + 1]
