@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips or held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -226,7 +227,9 @@ def test_suffix_array_and_prefixes():
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
         for most in (5, 8, 60, 64, 400):
             long = sa[sa <= len(t) - most]
-            assert suffix_dedup.reaches(buf, long, most).tolist() == [t[i : i + most] == t[j : j + most] for i, j in zip(long, long[1:], strict=False)]
+            for held in (50, 1 << 22):
+                got = suffix_dedup.prefixes(buf, long, most, held).tolist()
+                assert got == [len(os.path.commonprefix([t[i : i + most], t[j : j + most]])) for i, j in zip(long, long[1:], strict=False)]
 
 
 @pytest.mark.parametrize("p", [suffix_dedup.SuffixParameters(window=60, anchor=12), suffix_dedup.SuffixParameters(window=60, anchor=12, most_contexts=2, task_contexts=5, step=200)])
@@ -252,10 +255,9 @@ def test_suffix_dedup_equals_brute_force(spark, p):
 def test_neighbours_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ids, x = (np.array(c) for c in zip(*[(r.vec_id, r.embedding) for r in v.collect()], strict=True))
-    p = neighbours.IndexParameters(least=100)
     hit = total = 0
     got = {}
-    for r in neighbours.every_hundredth(v, p).collect():
+    for r in neighbours.every_hundredth(v).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     for q in ids[ids % 100 == 0]:
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
@@ -339,6 +341,59 @@ def test_license_places_and_spans(spark):
     assert (got[2].base_labels, got[2].labels, got[3].labels, got[4].n_base, got[5].labels) == ("cc-by", "cc-by,cc-by-nc", "mit", 0, "gpl")
 
 
+def brute_spans(text, p, templates):
+    """{(template, label, first_word, last_word)}: diagonals over words themselves, without hashes."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    w, out = words(text), set()
+    for i, (label, t) in enumerate(templates):
+        g = [tuple(words(t)[j : j + p.k]) for j in range(len(words(t)) - p.k + 1)]
+        votes = {}
+        for a in range(len(w) - p.k + 1):
+            for b, x in enumerate(g):
+                if x == tuple(w[a : a + p.k]):
+                    votes.setdefault(a - b, []).append((a, b))
+        runs = []
+        for d in sorted(votes):
+            if runs and d - runs[-1][0] <= p.slack:
+                runs[-1] = (d, runs[-1][1] + votes[d])
+            else:
+                runs.append((d, votes[d]))
+        for _, hits in runs:
+            lo, hi = min(a for a, _ in hits), max(a for a, _ in hits) + p.k - 1
+            if len({b for _, b in hits}) / len(g) >= p.cover and hi - lo + 1 <= 1.5 * (len(g) + p.k - 1) + p.slack:
+                out.add((i, label, lo, hi))
+    return out
+
+
+def test_license_spans_equal_brute_force(spark):
+    rng, p = random.Random(8), license_scan.ScanParameters()
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):  # words put in, left out or changed
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(([], ["word"], ["other", "words"]))
+            parts += [" ".join(t[rng.choice((0, 0, 3)) :]).upper() if rng.random() < 0.3 else ", ".join(t), " ".join(rng.choices(["the", "license", "under", "of"], k=rng.randint(0, 30)))]
+        rows.append((i % 40, "\n".join(parts)))  # several texts for each id
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in license_scan.spans(docs, p).collect():
+        got.setdefault((r.doc_id, r.digest), set()).add((r.template, r.label, r.first_word, r.last_word))
+    want = {(i, hashlib.md5(t.encode()).hexdigest()): s for i, t in rows if (s := brute_spans(t, p, license_scan.TEMPLATES))}
+    assert got == want and len(want) > 60
+
+
+def test_license_labels_stay_with_their_text(spark):
+    t = license_scan.TEMPLATES[0][1].split()
+    half = [" ".join(t[: len(t) // 2]), " ".join(t[len(t) // 2 :])]
+    rows = [(1, half[0]), (1, half[1]), (2, " ".join(t)), (2, "nothing"), (None, " ".join(t)), (3, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(t)
+    assert got == [(0, n, "mit"), (1, len(half[0].split()), ""), (1, len(half[1].split()), ""), (2, 1, ""), (2, n, "mit"), (3, 0, "")]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
