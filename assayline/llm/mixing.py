@@ -6,7 +6,7 @@ shard takes its own disjoint run of the source's permuted blocks and orders them
 
 Null or empty texts have size 0 and are taken for 0 words. A null source is a source of its own, the last. Repeated rows
 are separate documents with equal keys; ties in the permutation fall to doc_id, then size. An empty table gives no rows.
-The number of sources must fit the driver (``max_sources``): one row of sums each is collected, nothing else.
+One row of sums for each source goes to the driver, which makes the tree, and nothing else does; there is no limit on sources.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from ..storage import stored
 
 WEIGHTS = (5, 2, 1)
 
+#: Rows of a table of sources that is broadcast, at most.
+BROADCAST_ROWS = 50_000
+
 
 @dataclass(frozen=True)
 class MixParameters:
@@ -29,7 +32,6 @@ class MixParameters:
     most_epochs: int = 3
     shards: int = 16
     seed: int = 17
-    max_sources: int = 1_000_000
 
 
 def text_size(text: Column | str = "text") -> Column:
@@ -115,9 +117,7 @@ def ranked(docs: DataFrame, p: MixParameters) -> tuple[DataFrame, list]:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size().alias("size"), order_key("doc_id", p.seed).alias("key"))
     rows = stored(rows.withColumn("bucket", F.substring("key", 1, 3)))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(p.max_sources + 1).collect()
-    if len(sums) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     return rows, sums
 
 
@@ -136,44 +136,79 @@ def with_cuts(rows: DataFrame, sums: list, p: MixParameters) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("w1"), F.count(F.lit(1)).over(inside).alias("n1"), F.coalesce(F.sum(has_words).over(inside), F.lit(0)).alias("f1"))
     placed = local.alias("a").join(offsets.alias("o"), same("a", "o") & (F.col("a.bucket") == F.col("o.bucket"))).select("a.doc_id", "a.source", "a.size", "a.key", (F.col("w0") + F.col("w1")).alias("before"), (F.col("n0") + F.col("n1")).alias("rank"), (F.col("f0") + F.col("f1")).alias("full"))
-    out = placed.alias("p").join(F.broadcast(dim).alias("d"), same("p", "d")).drop(F.col("d.source"))
+    out = placed.alias("p").join(_dim(dim, len(owed)).alias("d"), same("p", "d")).drop(F.col("d.source"))
     extra = F.least(F.greatest(F.col("left_over") - F.col("before"), F.lit(0)), F.col("size"))
     return out.withColumn("extra", extra).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
 
 
+def dealt(placed: DataFrame, p: MixParameters) -> list[tuple]:
+    """Each source's sums, and where its permuted blocks end in each shard, by the splitting tree."""
+    block = F.col("epochs") + (F.col("extra") > 0).cast("long")
+    quota = placed.groupBy("source").agg(F.sum(block).alias("blocks"), F.max("epochs").alias("epochs"), F.max("source_docs").alias("docs")).collect()
+    quota.sort(key=lambda x: (x.source is None, x.source or ""))
+    leaves = split_quotas([q.blocks for q in quota], p.shards, p.seed)
+    return [(q, [int(x) for x in np.cumsum(leaves[:, i])]) for i, q in enumerate(quota)]
+
+
+def _dim(sources: DataFrame, rows: int) -> DataFrame:
+    """A table of few rows a source, broadcast while it is small by count."""
+    return F.broadcast(sources) if rows <= BROADCAST_ROWS else sources
+
+
 def mix(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
     """One row per document: ``blocks``, the passes that shards draw of it with their words, shard and local order, and
     ``taken``, the words of all of them."""
     rows, sums = ranked(docs, p)
     placed = stored(with_cuts(rows, sums, p))
-    quota = placed.groupBy("source").agg(F.sum(F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("blocks")).collect()
-    quota.sort(key=lambda x: (x.source is None, x.source or ""))
-    leaves = split_quotas([q.blocks for q in quota], p.shards, p.seed)
-    ends = placed.sparkSession.createDataFrame([(q.source, [int(x) for x in np.cumsum(leaves[:, i])]) for i, q in enumerate(quota)], "source string, ends array<long>")
+    ends = [(q.source, e) for q, e in dealt(placed, p)]
+    ends = _dim(placed.sparkSession.createDataFrame(ends, "source string, ends array<long>"), len(ends))
     copies = F.transform(F.sequence(F.lit(0), F.col("epochs").cast("int")), lambda c: F.struct(c.alias("pass"), F.when(c < F.col("epochs"), F.col("size")).otherwise(F.col("extra")).alias("words"), (c * F.col("source_docs") + F.when(c < F.col("epochs"), F.col("rank")).otherwise(F.col("full"))).alias("at")))
     # the last pass is there only for the documents that the left-over words reach, and counts none without words
     copies = F.filter(copies, lambda x: (x["pass"] < F.col("epochs")) | (F.col("extra") > 0))
     blocks = F.transform(copies, lambda x: F.struct(F.size(F.filter("ends", lambda e: e <= x["at"])).alias("shard"), F.xxhash64(F.lit(p.seed), "doc_id", x["pass"]).alias("place"), x["words"].alias("words")))
-    return placed.alias("p").join(F.broadcast(ends).alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.doc_id", "p.source", "size", "source_size", "target", blocks.alias("blocks")).withColumn("taken", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["words"]))
+    return placed.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.doc_id", "p.source", "size", "source_size", "target", blocks.alias("blocks")).withColumn("taken", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["words"]))
+
+
+def dealt_rows(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
+    """(row, shard, place): the rows of ``docs``, as structs, as often as the mix takes them, in whole passes (the last one if
+    at least half of it is taken), each with its shard by the splitting tree and its place in that shard's local order.
+
+    Texts aren't joined with their ranks: where a shard's run of a source's permuted blocks begins is one (pass, key, doc_id,
+    size), which every row of the source is compared with. Rows alike in all of these fall on one side of it.
+    """
+    spark, (rows, sums) = docs.sparkSession, ranked(docs, p)
+    placed = stored(with_cuts(rows, sums, p))
+    begins = []
+    for q, ends in dealt(placed, p):
+        whole = q.epochs * q.docs
+        for e in (0, *ends[:-1]):
+            if e < q.blocks:
+                begins.append((q.source, e // q.docs if e < whole else q.epochs, e % q.docs if e < whole else e - whole, e >= whole))
+    edge = _dim(spark.createDataFrame(begins, "source string, pass long, pos long, last boolean"), len(begins))
+    own = ("source", "key", "doc_id", "size")
+    at = placed.select(*own, F.col("rank").alias("pos"), F.lit(False).alias("last")).union(placed.where("extra > 0").select(*own, F.col("full").alias("pos"), F.lit(True).alias("last")))
+    met = at.alias("a").join(edge.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")) & (F.col("a.pos") == F.col("e.pos")) & (F.col("a.last") == F.col("e.last")))
+    cuts = met.select("a.source", F.struct(F.col("e.pass").alias("pass"), F.col("a.key").alias("key"), F.col("a.doc_id").alias("id"), F.col("a.size").alias("words")).alias("cut")).groupBy("source").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    last = F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), F.struct("key", F.col("doc_id").alias("id"), F.col("size").alias("words")))
+    dim = placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(last).alias("upto"))
+    dim = _dim(stored(dim.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select("d.source", "epochs", "upto", "cuts")), len(sums))
+    mine = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), order_key("doc_id", p.seed).alias("key"), F.col("doc_id").cast("long").alias("id"), text_size().alias("words"))
+    out = mine.alias("x").join(dim.alias("c"), F.col("x.source").eqNullSafe(F.col("c.source")))
+    once_more = (F.col("words") > 0) & F.col("upto").isNotNull() & (F.struct("key", "id", "words") <= F.col("upto"))
+    times = F.col("epochs") + F.when(once_more, 1).otherwise(0)
+    out = out.select("row", "key", "id", "words", "cuts", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))).alias("pass"))
+    # a source's first block begins the first shard that has any; the begin at 0 stands for the start itself
+    shard = F.size(F.filter("cuts", lambda e: e <= F.struct("pass", "key", "id", "words"))) - 1
+    return out.select("row", shard.alias("shard"), F.xxhash64(F.lit(p.seed), "id", F.col("pass").cast("int")).alias("place"))
 
 
 def mixed_rows(docs: DataFrame, p: MixParameters = MixParameters()) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, in whole passes (the last one if at least half of it is taken).
+    """The rows of ``docs`` as often as the mix takes them, shard by shard, in each shard's local order.
 
-    Rows never move: each source's cut is one (key, doc_id, size) that every row is compared with.
+    A shard is laid out in up to 256 parts by place, so none is one task; parts that many alike rows make large are split.
     """
-    rows, sums = ranked(docs, p)
-    placed = with_cuts(rows, sums, p)
-    more = 2 * F.col("extra") >= F.col("size")
-    last = placed.where((F.col("extra") > 0) & more).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut"))
-    dim = placed.groupBy("source").agg(F.max("epochs").alias("epochs"))
-    cuts = [(d.source, d.epochs, None, None, None) if d.cut is None else (d.source, d.epochs, d.cut["key"], d.cut["doc_id"], d.cut["size"]) for d in dim.alias("d").join(last.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select("d.source", "epochs", "cut").collect()]
-    cut = docs.sparkSession.createDataFrame(cuts, "source string, epochs long, key string, id long, words long")
-    mine = F.struct(order_key(F.col("x.doc_id"), p.seed).alias("key"), F.col("x.doc_id").cast("long").alias("id"), text_size(F.col("x.text")).alias("words"))
-    times = F.col("c.epochs") + F.when(F.col("c.key").isNotNull() & (mine <= F.struct("c.key", "c.id", "c.words")), 1).otherwise(0)
-    out = docs.alias("x").join(F.broadcast(cut).alias("c"), F.col("x.source").cast("string").eqNullSafe(F.col("c.source")))
-    passes = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>")))
-    return out.select("x.*", passes.alias("__pass")).drop("__pass")
+    laid = dealt_rows(docs, p).withColumn("part", F.pmod("place", F.lit(256)))
+    return laid.hint("rebalance", "shard", "part").sortWithinPartitions("shard", "part", "place").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

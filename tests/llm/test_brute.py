@@ -308,6 +308,27 @@ def test_shards_hold_what_the_tree_deals(spark):
     assert held == Counter({(k, s): int(n) for k, row in enumerate(leaves) for s, n in zip("uvw", row, strict=True) if n})
 
 
+def test_rows_go_to_the_shards_of_their_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, "" if i % 5 == 0 else "a b c " * rng.randint(1, 9), rng.choice(["u", "u", "u", "v", "w", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for p in (mixing.MixParameters(), mixing.MixParameters(shards=5, weights=(1, 9, 1), seed=3)):
+        # a part of a document that is less than half of it stays out of whole passes
+        want = Counter((r.doc_id, b.shard, b.place) for r in mixing.mix(docs, p).collect() for b in r.blocks if 2 * b.words >= r.size)
+        got = mixing.dealt_rows(docs, p).collect()
+        assert Counter((r.row.doc_id, r.shard, r.place) for r in got) == want
+        assert Counter(r.doc_id for r in mixing.mixed_rows(docs, p).collect()) == Counter(i for i, *_ in want.elements())
+
+
+def test_the_seed_changes_shards_but_no_sums(spark):
+    rows = [(i, "a b c " * (1 + i % 4), "uv"[i % 3 % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (mixing.mix(docs, mixing.MixParameters(seed=s)).collect() for s in (1, 2))
+    sums = lambda rows: {s: sum(r.taken for r in rows if r.source == s) for s in "uv"}
+    places = lambda rows: {(r.doc_id, b.shard) for r in rows for b in r.blocks}
+    assert sums(one) == sums(two) and places(one) != places(two)
+
+
 _texts = {}
 
 
