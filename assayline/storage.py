@@ -37,10 +37,28 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, in so many buckets by ``key``: joins on it deal the other side's rows alone, however often they come.
+
+    With as many buckets as shuffle partitions at least, or else the join would deal both sides anew.
+    """
+    spark = df.sparkSession
+    sc, name = spark.sparkContext, f"assayline_{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/{name}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", where).saveAsTable(name)
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.table(name)
+    out._folder, out._table = where, name
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of stored tables that nothing will read again, and lets the shuffle files behind them go."""
     for df in frames:
         sc = df.sparkSession.sparkContext
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = sc._jvm.org.apache.hadoop.fs.Path(df._folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
