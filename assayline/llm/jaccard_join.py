@@ -252,7 +252,7 @@ def links(docs: DataFrame, p: JoinParameters = JoinParameters()) -> tuple[DataFr
     found = stored(linking.runs(signatures(docs, p, buckets, frequent, hot), hot))
     freed(spark)
     repeated = not every.where("fp IS NOT NULL").groupBy("rid").count().where("count > 1").isEmpty()
-    bodies = stored(material(docs, nodes, found, repeated, p))
+    bodies = linking.by_node(material(docs, nodes, found, repeated, p), tokens, p.link)
     freed(spark)
     return every, linking.linked(found, bodies, lambda x: shingles(x, p.words), p.link)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from ..storage import dropped, freed, stored
+from ..storage import bucketed, dropped, freed, stored
 from .common import SLICE_BYTES, width
 
 _U = np.uint64
@@ -47,6 +47,9 @@ class LinkParameters:
     #: Candidates of one centre that are verified together, and tokens of a verification task, about.
     star: int = 256
     task_tokens: int = 1_000_000
+    #: Tokens of the sets in a bucket of candidates' bodies, about, and buckets at most.
+    bucket_tokens: int = 8_000_000
+    most_buckets: int = 50_000
     #: Pairs that a component offers from a block in the first round, and the growth from round to round.
     offers: int = 2
     growth: int = 16
@@ -160,6 +163,11 @@ def candidates(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("fp")).distinct()
 
 
+def by_node(material: DataFrame, tokens: int, p: LinkParameters) -> DataFrame:
+    """``material`` stored in buckets by fp, so that the rounds of ``linked`` never deal bodies; of so many tokens at most."""
+    return bucketed(material, "fp", int(min(p.most_buckets, max(width(material.sparkSession), tokens // p.bucket_tokens + 1))))
+
+
 def parities(tokens: np.ndarray, first: np.ndarray, bits: int) -> list[bytes]:
     """Bitmaps of the sets tokens[first[i]:first[i + 1]]: two of them differ in at most as many bits as their sets in tokens."""
     out: list[bytes] = []
@@ -337,8 +345,8 @@ def across(holders: DataFrame, material: DataFrame, labels: DataFrame, offers: i
 
 
 def linked(found: DataFrame, material: DataFrame, tokens_of: Tokens, p: LinkParameters) -> DataFrame:
-    """(node, root) of the sets that link with another; ``found`` comes from ``runs``, stored, and ``material`` is a
-    stored table (fp, n, bitmap, body) of all the sets in it."""
+    """(node, root) of the sets that link with another; ``found`` comes from ``runs``, stored, and ``material`` from
+    ``by_node``, with all the sets in it (fp, n, bitmap, body)."""
     spark = found.sparkSession
     pairs = found.where("run IS NULL").select("a", "b").distinct()
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

@@ -178,7 +178,7 @@ def _labelled(docs: DataFrame, p: NearParameters) -> DataFrame:
     hot = linking.hot(_sampled(docs, one_in, p), one_in, p.link) if n > p.link.shard_holders else linking.NO_HOT
     buckets = int(max(width(spark), n * p.tables // p.link.task_signatures + 1))
     found = stored(linking.runs(signatures(docs, p, salt, buckets, hot), hot))
-    bodies = stored(material(docs, nodes, found, salt, p))
+    bodies = linking.by_node(material(docs, nodes, found, salt, p), every.agg(F.sum("n")).first()[0] or 0, p.link)
     labels = linking.linked(found, bodies, lambda x: shingles(x, p.words), p.link)
     rooted = every.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
