@@ -210,3 +210,11 @@ def test_components_of_a_long_chain(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)]
     df = spark.createDataFrame([*edges, ("x", "x"), ("y", None)], "a string, b string")
     assert {r.node: r.root for r in components.connected(df).collect()} == _roots(edges)
+
+
+@pytest.mark.parametrize("name", ["report_headers"])
+def test_small_tables_of_much_work_are_spread(spark, name):
+    """Scans and adaptive execution would put them into one task."""
+    from assayline.plans import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
