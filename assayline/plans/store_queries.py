@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import indices, text, units
 from ..operators import audit, components, panels, parsing, pressure, store
 from ..operators import series as S
-from ..sources.adapters import BY_PRIORITY, EVENTS_SQL, events_panel, orders_series, read
+from ..sources.adapters import BY_PRIORITY, EVENTS_SQL, events_panel, orders_series, read, spread
 from .series_queries import r6, rsql
 
 QUERIES, SQL = {}, {}
@@ -283,7 +283,7 @@ def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
 CASE WHEN p_size % 5 = 3 THEN 'hcm,vcm' ELSE '' END AS abbreviations FROM part""")
 def name_signature(spark: SparkSession, sf: str) -> DataFrame:
     """Specimen, system, kind of quantity, urine, percentage and translated words."""
-    p = read(spark, sf, "part")
+    p = spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
     name = lambda a, b: F.concat(F.lit(a), "p_name", F.lit(b))
     k = F.col("p_size") % 5
     raw = F.when(k == 0, name("Srm-Hierro ", "; c. subst. (mcmol/L)")).when(k == 1, name("Pac (Uri)- Hierro ", ", fr. vol")).when(k == 2, name("Hierro en orina ", " suero 9 U/L")).when(k == 3, name("Hierro % ", " (MCV/MCH, x)")).otherwise(name("Volumen plaquetar medio ", ""))
