@@ -212,7 +212,7 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.root for r in components.connected(df).collect()} == _roots(edges)
 
 
-@pytest.mark.parametrize("name", ["name_signature", "report_headers"])
+@pytest.mark.parametrize("name", ["name_signature", "pressure_dialects", "report_headers"])
 def test_small_tables_of_much_work_are_spread(spark, name):
     """Scans and adaptive execution would put them into one task."""
     from assayline.plans import catalog
