@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 KEY = ["doc_id", "page"]
 #: Width of a stretch, in points; a character is in one or two.
 STRETCH = 16.0
+#: Side of a square in which glyphs are compared, in tolerances.
+SQUARE = 8.0
 
 
 def _stretches(low: Column, high: Column) -> Column:
@@ -39,15 +41,26 @@ def without_overlapping_blanks(chars: DataFrame, slack: float = 0.5) -> DataFram
     return chars.join(over, [*KEY, "no"], "left_anti").select(chars.columns)
 
 
+def _squares(placed: DataFrame, tolerance: float) -> DataFrame:
+    """Each glyph once for every square (i, j) that it looks in: its own and, near an edge, those beyond it."""
+    around = lambda c: F.explode(F.sequence(_square(F.col(c) - tolerance, tolerance), _square(F.col(c) + tolerance, tolerance)))
+    return placed.withColumn("i", around("x0")).withColumn("j", around("top"))
+
+
+def _square(x: Column, tolerance: float) -> Column:
+    return F.floor(x / (SQUARE * tolerance))
+
+
 def drawn_once(chars: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Leaves out a glyph that repeats an earlier one of the same text less than ``tolerance`` away on both axes."""
+    """Leaves out a glyph that repeats an earlier one of the same text less than ``tolerance`` away on both axes.
+
+    They meet in squares of ``SQUARE`` tolerances, so that most glyphs are dealt once.
+    """
     placed = _placed(chars).select(*KEY, "no", "text", "x0", "top")
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    first = placed.groupBy(*KEY, "text", cell("x0").alias("i"), cell("top").alias("j"), F.col("x0").alias("e0"), F.col("top").alias("etop")).agg(F.min("no").alias("earlier"))
-    wide = placed.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).withColumns({"i": cell("x0") + F.col("di"), "j": cell("top") + F.col("dj")})
+    first = placed.groupBy(*KEY, "text", F.col("x0").alias("e0"), F.col("top").alias("etop")).agg(F.min("no").alias("earlier"))
+    first = first.withColumns({"i": _square(F.col("e0"), tolerance), "j": _square(F.col("etop"), tolerance)})
     close = (F.abs(F.col("x0") - F.col("e0")) < tolerance) & (F.abs(F.col("top") - F.col("etop")) < tolerance)
-    again = wide.join(first, [*KEY, "text", "i", "j"]).where((F.col("earlier") < F.col("no")) & close).select(*KEY, "no").distinct()
+    again = _squares(placed, tolerance).join(first, [*KEY, "text", "i", "j"]).where((F.col("earlier") < F.col("no")) & close).select(*KEY, "no").distinct()
     return chars.join(again, [*KEY, "no"], "left_anti").select(chars.columns)
 
 

@@ -218,3 +218,18 @@ def test_small_tables_of_much_work_are_spread(spark, name):
     from assayline.plans import catalog
 
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_glyphs_at_the_edges_of_squares(spark):
+    """As by brute force, with glyphs on and around edges; most are dealt once or twice, not to nine cells."""
+    import itertools
+
+    from assayline.operators import boxes
+
+    spots = [-16.5, -8.0, -0.5, 0.0, 0.5, 7.5, 8.0, 8.5, 12.0, 15.75]
+    rows = [(1, 1, no, "a", x, x, y) for no, (x, y) in enumerate(itertools.product(spots, spots))]
+    chars = spark.createDataFrame(rows, "doc_id long, page long, no long, text string, x0 double, x1 double, top double")
+    kept = {r[2] for r in rows if not any(e[2] < r[2] and abs(e[4] - r[4]) < 1 and abs(e[6] - r[6]) < 1 for e in rows)}
+    assert {r.no for r in boxes.drawn_once(chars).collect()} == kept
+    even = spark.range(10_000).selectExpr("id % 100 * 0.37D AS x0", "id div 100 * 0.61D AS top")
+    assert boxes._squares(even, 1.0).count() < 20_000
