@@ -233,3 +233,30 @@ def test_glyphs_at_the_edges_of_squares(spark):
     assert {r.no for r in boxes.drawn_once(chars).collect()} == kept
     even = spark.range(10_000).selectExpr("id % 100 * 0.37D AS x0", "id div 100 * 0.61D AS top")
     assert boxes._squares(even, 1.0).count() < 20_000
+
+
+def test_names_are_signed_once(spark, monkeypatch):
+    """Of results that repeat a name, the name is signed once; counts are of results."""
+    from pyspark.sql import functions as F
+
+    from assayline.operators import audit
+
+    signed, calls = audit.text.name_signature, spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(raw):
+        calls.add(1)
+        return raw
+
+    monkeypatch.setattr(audit.text, "name_signature", lambda raw: signed(counted(raw)))
+    r = spark.range(1_000).selectExpr("'x' AS canonical_id", "concat('Urea ', id % 2) AS raw_name", "'mg/dL' AS unit", "'A' AS lab", "'c' AS loinc_code")
+    (g,) = audit.groups(r).collect()
+    assert g.n == 1_000 and g.names == ["Urea 0", "Urea 1"] and 0 < calls.value <= 10
+
+
+def test_one_report_with_two_members(spark):
+    from assayline.operators import audit
+
+    rows = [("a", 1, "1"), ("b", 2, "1"), ("c", 3, "2"), ("d", 3, "2"), ("c", 4, "2")]
+    r = spark.createDataFrame([(*x, "Urea", "mg/dL", "A") for x in rows], "canonical_id string, report_id long, loinc_code string, raw_name string, unit string, lab string").withColumn("raw_name", F.concat("raw_name", "loinc_code"))
+    assert {(x.root, x.same_report) for x in audit.proposals(audit.groups(r), r).collect()} == {("a", 0), ("c", 1)}
