@@ -260,3 +260,12 @@ def test_one_report_with_two_members(spark):
     rows = [("a", 1, "1"), ("b", 2, "1"), ("c", 3, "2"), ("d", 3, "2"), ("c", 4, "2")]
     r = spark.createDataFrame([(*x, "Urea", "mg/dL", "A") for x in rows], "canonical_id string, report_id long, loinc_code string, raw_name string, unit string, lab string").withColumn("raw_name", F.concat("raw_name", "loinc_code"))
     assert {(x.root, x.same_report) for x in audit.proposals(audit.groups(r), r).collect()} == {("a", 0), ("c", 1)}
+
+
+def test_mixed_groups(spark):
+    """Several codes, or two names in a report without a code; names that are one when normalised, and one code, make none."""
+    from assayline.operators import audit
+
+    rows = [("a", 1, "x", "1"), ("a", 2, "x", "2"), ("b", 1, "x", None), ("b", 1, "y", None), ("c", 1, "x", "1"), ("c", 1, "y", None), ("d", 1, "x", None), ("d", 1, "X ", None), ("d", 2, "y", None), (None, 1, "x", "1"), (None, 1, "y", "2")]
+    r = spark.createDataFrame([(*x, "mg/dL", "A") for x in rows], "canonical_id string, report_id long, raw_name string, loinc_code string, unit string, lab string")
+    assert {x.canonical_id for x in audit.mixed_groups(r, audit.groups(r)).collect()} == {"a", "b"}
