@@ -13,6 +13,11 @@ from ..functions import text, units
 
 Tables = dict[str, DataFrame]
 
+#: Rows that a task of a deletion's joins takes, about.
+TASK_ROWS = 1_000_000
+#: Tables with a patient's rows that go with the patient.
+_OF_PATIENTS = ("targets", "bp_readings")
+
 
 def keep_one(df: DataFrame, keys: list[str | Column], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
@@ -155,27 +160,46 @@ def manual_report(patient_id: int, stamp: str, day: str, rows: DataFrame, report
     return conform(report, TABLES["reports"]), conform(rows.withColumn("report_id", F.lit(report_id)), TABLES["results"])
 
 
-def delete_reports(tables: Tables, ids: DataFrame) -> Tables:
-    """Cascades to results; patients left without a report go, with their targets and readings."""
-    reports = tables["reports"].join(ids.select("id"), "id", "left_anti")
-    touched = tables["reports"].join(ids.select("id"), "id", "left_semi").select(F.col("patient_id").alias("id")).distinct()
-    gone = touched.join(reports.select(F.col("patient_id").alias("id")), "id", "left_anti")
-    out = {**tables, "reports": reports, "results": tables["results"].join(ids.select(F.col("id").alias("report_id")), "report_id", "left_anti")}
-    return _without_patients(out, gone)
+def _tasks(*tables: DataFrame) -> int:
+    """Tasks for joins of these tables, in proportion to the largest one's rows; 1 where adaptive execution may see to it."""
+    spark = tables[0].sparkSession
+    tasks = max(t.count() for t in tables) // TASK_ROWS + 1
+    return tasks if tasks == 1 else max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
+def _dealt(df: DataFrame, tasks: int, key: str) -> DataFrame:
+    """Rows by ``key`` over so many tasks. Adaptive execution counts compressed bytes, of which ids have few: left to it, a
+    task's rows, and what sorting them holds, grow with the tables."""
+    return df if tasks == 1 else df.repartition(tasks, key)
 
-def _without_patients(tables: Tables, ids: DataFrame) -> Tables:
-    who = ids.select(F.col("id").alias("patient_id"))
-    out = {**tables, "patients": tables["patients"].join(ids.select("id"), "id", "left_anti")}
-    for name in ("targets", "bp_readings"):
+
+def delete_reports(tables: Tables, ids: DataFrame) -> Tables:
+    """Cascades to results; patients left without a report go, with their targets and readings."""
+    tasks = _tasks(tables["reports"], tables["results"])
+    cut = _dealt(ids.select("id"), tasks, "id").distinct().withColumn("__cut", F.lit(True))
+    marked = _dealt(tables["reports"], tasks, "id").join(cut, "id", "left")
+    reports = marked.where("__cut IS NULL").select(tables["reports"].columns)
+    results = _dealt(tables["results"], tasks, "report_id").join(cut.select(F.col("id").alias("report_id")), "report_id", "left_anti").select(tables["results"].columns)
+    tasks = _tasks(*(tables[k] for k in ("patients", "reports", *_OF_PATIENTS) if k in tables))
+    whose = _dealt(marked.select("patient_id", F.col("__cut").isNotNull().alias("__cut")), tasks, "patient_id")
+    gone = whose.groupBy(F.col("patient_id").alias("id")).agg(F.bool_and("__cut").alias("__all")).where("__all").select("id")
+    return _without_patients({**tables, "reports": reports, "results": results}, gone, tasks)
+
+
+def _without_patients(tables: Tables, ids: DataFrame, tasks: int) -> Tables:
+    who = _dealt(ids.select(F.col("id").alias("patient_id")), tasks, "patient_id")
+    out = {**tables, "patients": _dealt(tables["patients"], tasks, "id").join(who.select(F.col("patient_id").alias("id")), "id", "left_anti")}
+    for name in _OF_PATIENTS:
         if name in tables:
-            out[name] = tables[name].join(who, "patient_id", "left_anti")
+            out[name] = _dealt(tables[name], tasks, "patient_id").join(who, "patient_id", "left_anti")
     return out
 
 
 def delete_patients(tables: Tables, ids: DataFrame) -> Tables:
-    mine = tables["reports"].join(ids.select(F.col("id").alias("patient_id")), "patient_id", "left_semi").select("id")
-    return _without_patients(delete_reports(tables, mine), ids)
+    tasks = _tasks(*(tables[k] for k in ("patients", "reports", *_OF_PATIENTS) if k in tables))
+    who = _dealt(ids.select(F.col("id").alias("patient_id")), tasks, "patient_id")
+    mine = _dealt(tables["reports"], tasks, "patient_id").join(who, "patient_id", "left_semi").select("id")
+    return _without_patients(delete_reports(tables, mine), ids, tasks)
 
 
 def clear_import(tables: Tables, filename: str) -> Tables:
