@@ -131,9 +131,10 @@ def signatures(docs: DataFrame, p: NearParameters, salt: int, buckets: int, hot:
                 sig.append(keys.ravel())
                 ids.append(np.repeat(np.array(list(fresh), np.int64), p.tables))
                 held += keys.size
-            if held > 3_000_000:
-                yield linking.pack(sig, ids, buckets, sent.value)
+            if held > linking.PORTION:
+                packed = linking.pack(sig, ids, buckets, sent.value)
                 sig, ids, held = [], [], 0
+                yield packed
         if held:
             yield linking.pack(sig, ids, buckets, sent.value)
 
