@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, stored
+from ..storage import dropped, freed, stored
 from . import linking
 from .common import only, raw_texts, text_slices, width
-from .jaccard_join import keyed, shingles
+from .jaccard_join import bodies, keyed, shingles
 from .kernels import mix
 
 _U = np.uint64
@@ -88,15 +88,15 @@ def identities(tokens: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def sets(docs: DataFrame, p: NearParameters, salt: int = 0) -> DataFrame:
-    """(rid, doc_id, n, fp, proof) of each row; fp and proof are null for the empty set."""
+    """(rid, doc_id, n, fp, proof, bitmap) of each row; fp, proof and the parity bitmap are null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             found = shingles(raw_texts(b.column("text")), p.words)
             ids = [identities(x, salt) if len(x) else (None, None) for x in found]
-            yield pa.RecordBatch.from_pydict({"rid": b.column("rid"), "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([x[0] for x in ids], pa.int64()), "proof": pa.array([x[1] for x in ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"rid": b.column("rid"), "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "fp": pa.array([x[0] for x in ids], pa.int64()), "proof": pa.array([x[1] for x in ids], pa.int64()), "bitmap": linking.bitmaps(found, p.link.bits)})
 
-    return keyed(docs).mapInArrow(run, "rid long, doc_id long, n long, fp long, proof long")
+    return keyed(docs).mapInArrow(run, "rid long, doc_id long, n long, fp long, proof long, bitmap binary")
 
 
 def nodes_of(docs: DataFrame, p: NearParameters) -> tuple[DataFrame, DataFrame, int]:
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, p: NearParameters, salt: int, buckets: int, hot:
         seen: set[int] = set()
         sig: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
         for b in text_slices(batches):
             fresh: dict[int, np.ndarray] = {}
@@ -130,13 +131,14 @@ def signatures(docs: DataFrame, p: NearParameters, salt: int, buckets: int, hot:
                 keys = table_keys(list(fresh.values()), p)
                 sig.append(keys.ravel())
                 ids.append(np.repeat(np.array(list(fresh), np.int64), p.tables))
+                sizes.append(np.repeat(linking.steps(np.fromiter(map(len, fresh.values()), np.int64, len(fresh))), p.tables))
                 held += keys.size
             if held > linking.PORTION:
-                packed = linking.pack(sig, ids, buckets, sent.value)
-                sig, ids, held = [], [], 0
+                packed = linking.pack(sig, ids, sizes, buckets, sent.value)
+                sig, ids, sizes, held = [], [], [], 0
                 yield packed
         if held:
-            yield linking.pack(sig, ids, buckets, sent.value)
+            yield linking.pack(sig, ids, sizes, buckets, sent.value)
 
     return only(docs).mapInArrow(run, "bucket int, packed binary")
 
@@ -152,24 +154,6 @@ def _sampled(docs: DataFrame, every: int, p: NearParameters) -> DataFrame:
     return keyed(docs).where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long")
 
 
-def material(docs: DataFrame, nodes: DataFrame, found: DataFrame, salt: int, p: NearParameters) -> DataFrame:
-    """(fp, n, bitmap, body): the texts of the sets that are anyone's candidates, each once."""
-    want = stored(nodes.join(linking.candidates(found), "fp").select("rid", "fp"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            # rows of one rid are alike but for a collision, which the node tells
-            own = [len(x) > 0 and identities(x, salt)[0] == f for x, f in zip(shingles(raw_texts(b.column("text")), p.words), b.column("fp").to_pylist(), strict=True)]
-            b = b.filter(pa.array(own, pa.bool_()))
-            bodies = raw_texts(b.column("text"))
-            if bodies:
-                n, maps = linking.sketched(bodies, lambda x: shingles(x, p.words), p.link.bits)
-                yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "n": n, "bitmap": maps, "body": pa.array(bodies, pa.binary())})
-
-    # texts are dealt by row, however few are wanted, so that the plan is one at every size
-    return keyed(docs).join(want.hint("merge"), "rid").select("fp", "text").mapInArrow(run, "fp long, n long, bitmap binary, body binary").dropDuplicates(["fp"])
-
-
 def _labelled(docs: DataFrame, p: NearParameters) -> DataFrame:
     """(rid, doc_id, n, component, root) of each row; root is null for the empty set."""
     spark = docs.sparkSession
@@ -178,9 +162,11 @@ def _labelled(docs: DataFrame, p: NearParameters) -> DataFrame:
     one_in = max(1, n // p.sample_docs)
     hot = linking.hot(_sampled(docs, one_in, p), one_in, p.link) if n > p.link.shard_holders else linking.NO_HOT
     buckets = int(max(width(spark), n * p.tables // p.link.task_signatures + 1))
-    found = stored(linking.runs(signatures(docs, p, salt, buckets, hot), hot))
-    bodies = linking.by_node(material(docs, nodes, found, salt, p), every.agg(F.sum("n")).first()[0] or 0, p.link)
-    labels = linking.linked(found, bodies, lambda x: shingles(x, p.words), p.link)
+    found = stored(linking.runs(signatures(docs, p, salt, buckets, hot), hot, p.link))
+    freed(spark)
+    sketches = linking.by_node(linking.marked(every.where("fp IS NOT NULL").select("fp", "n", "bitmap"), linking.candidates(found, p.link)), n * 8, p.link)
+    freed(spark)
+    labels = linking.linked(found, sketches, lambda fps: bodies(docs, nodes, fps, lambda x: identities(x, salt)[0], p), lambda x: shingles(x, p.words), p.link)
     rooted = every.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
     return rooted.join(least, "root", "left")
