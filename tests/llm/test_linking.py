@@ -58,3 +58,25 @@ def test_bodies_are_fetched_for_pairs_that_bitmaps_allow(spark):
     rows = spark.createDataFrame([(None, 1, 2), (None, 1, 3), (9, None, 1), (9, None, 2), (9, None, 3)], "run long, a long, b long")
     got = linking.linked(rows, sketches, fetch, lambda bodies: [sets[x[0]] for x in bodies], P).collect()
     assert {(r.node, r.root) for r in got} == {(1, 1), (2, 1)} and asked == [{1, 2}]
+
+
+def test_bitmaps_of_large_sets_rule_out_pairs_that_share_little(spark):
+    # at 1,024 bits half of them are odd in every set of thousands of tokens
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 48, 40_000, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(pool)[:n]) for n in (3_000, 2_600, 9_000, 9_000)] + [pool[:3_000], pool[:2_700], pool[100:3_000]]
+    maps = linking.bitmaps(sets, P.bits).to_pylist()
+    sketches = spark.createDataFrame([(i, len(x), m) for i, (x, m) in enumerate(zip(sets, maps, strict=True))], "fp long, n long, bitmap binary")
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5), (4, 6)], "a long, b long")
+    assert {(r.a, r.b) for r in linking.close(pairs, sketches, P).collect()} == {(4, 5), (4, 6)}
+
+
+def test_bitmaps_bound_the_difference_at_every_size():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 48, 20_000, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(pool[: n + n // 4])[:n]) for n in rng.integers(1, 12_000, 60)]
+    maps = linking.Bitmaps(linking.bitmaps(sets, P.bits).to_pylist())
+    x, y = (i.ravel() for i in np.indices((60, 60)))
+    differ = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    got = maps.differ(x, y)
+    assert (got <= differ).all() and (got[x == y] == 0).all() and len(maps.held) > 3
